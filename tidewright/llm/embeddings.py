@@ -46,7 +46,7 @@ def cells_of(vectors: np.ndarray, centres: np.ndarray, reach: float) -> tuple[np
     return np.concatenate((np.arange(len(near)), rows)), np.concatenate((home, cells)), np.concatenate((np.ones(len(near), dtype=bool), np.zeros(len(rows), dtype=bool)))
 
 
-def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, sample: int = 20_000, cell_rows: int = 1000, max_cells: int = 512, sigmas: float = 4.5) -> DataFrame:
+def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, sample: int = 20_000, cell_rows: int = 1000, max_cells: int = 512, sigmas: float = 3.0) -> DataFrame:
     """A row for each id: id, n_links, component_id, kept (whether it is its component's least id).
 
     Linked are vectors of one length with a cosine, in double precision, of at least the threshold. Null, zero and
@@ -60,22 +60,29 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     `sigmas` of these, never over sqrt(2 - 2 threshold), from where on nothing can be missed.
     """
 
-    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    stored = np.float32 if single else np.float64
+
+    def unit_rows(data: list[bytes]) -> np.ndarray:
+        found = np.array([np.frombuffer(x, dtype=stored) for x in data], dtype=np.float64)
+        found /= np.abs(found).max(axis=1)[:, None]
+        return found / np.sqrt(np.einsum("ij,ij->i", found, found))[:, None]
+
+    def read_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digest, unit, size = [], [], []
             for x in batch.column("vector").to_pylist():
-                v = None if x is None or not len(x) or any(c is None for c in x) else np.array(x, dtype=np.float64)
-                if v is not None and np.isfinite(v).all() and (top := np.abs(v).max()) > 0:
-                    v = v / top
-                    digest.append(hashlib.blake2b(np.array(x, dtype=np.float64).tobytes(), digest_size=16).digest())
-                    unit.append((v / np.sqrt(v @ v)).tobytes())
+                v = None if x is None or not len(x) or any(c is None for c in x) else np.array(x, dtype=stored)
+                if v is not None and np.isfinite(v).all() and v.any():
+                    digest.append(hashlib.blake2b(v.tobytes(), digest_size=16).digest())
+                    unit.append(v.tobytes())
                     size.append(len(v))
                 else:
                     digest.append(None), unit.append(None), size.append(0)
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "digest": pa.array(digest, pa.binary()), "size": pa.array(size, pa.int32()), "data": pa.array(unit, pa.binary())})
 
     own = vectors.where(F.col(id_col).isNotNull())
-    read = materialize(arrow_map(own, [F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")], "id long, digest binary, size int, data binary", units), "vectors")
+    read = materialize(arrow_map(own, [F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")], "id long, digest binary, size int, data binary", read_vectors), "vectors")
     ids = read.groupBy("id").agg(F.min("digest").alias("digest"))
     classes = ids.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
     reps = materialize(classes.join(read.select("digest", "id", "size", "data").dropDuplicates(["id", "digest"]), "digest").where("id = rep").select("digest", "rep", "weight", "size", "data"), "classes")
@@ -85,33 +92,47 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     drawn.sort(key=lambda r: bytes(r["digest"]))
     models = {}
     for size, n in counts.items():  # other lengths, if there are more, have one cell each
-        some = [np.frombuffer(r["data"]) for r in drawn if r["size"] == size]
+        some = [bytes(r["data"]) for r in drawn if r["size"] == size]
         if some:
-            models[size] = spherical_kmeans(np.array(some), min(max_cells, -(-n // cell_rows)))
+            models[size] = spherical_kmeans(unit_rows(some), min(max_cells, -(-n // cell_rows)))
     shared = vectors.sparkSession.sparkContext.broadcast(models)
     spread = sigmas * math.sqrt(1 - threshold**2)
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
+    def cells(part: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = unit_rows(part.column("data").to_pylist())
+        centres = shared.value.get(length)
+        if centres is None:
+            return np.arange(len(found)), np.full(len(found), length << 20), np.ones(len(found), dtype=bool)
+        reach = min(spread / math.sqrt(length), math.sqrt(2 - 2 * threshold)) + 1e-9
+        row, cell, home = cells_of(found, centres, reach)
+        return row, (length << 20) + cell, home
+
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
         for batch in batches:
             size = batch.column("size").to_numpy()
-            for own in np.unique(size).tolist():
-                part = batch.filter(pa.array(size == own))
-                found = np.array([np.frombuffer(x) for x in part.column("data").to_pylist()])
-                reach = min(spread / math.sqrt(own), math.sqrt(2 - 2 * threshold)) + 1e-9
-                centres = models.get(own)
-                row, cell, home = cells_of(found, centres, reach) if centres is not None else (np.arange(len(found)), np.zeros(len(found), dtype=np.int64), np.ones(len(found), dtype=bool))
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(own * (1 << 20) + cell.astype(np.int64)), *(part.column(c).take(take) for c in ("rep", "weight", "data")), pa.array(home)], names=["cell", "id", "weight", "data", "home"])
-
-    dealt = materialize(arrow_map(reps, ["rep", "weight", "size", "data"], "cell long, id long, weight long, data binary, home boolean", assign), "cells")
-    sizes = dealt.groupBy("cell").agg(F.count("*").alias("cell_size"))
+            for length in np.unique(size).tolist():
+                yield length, batch.filter(pa.array(size == length))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for length, part in lengths(batches):
+            _, cell, home = cells(part, length)
+            yield pa.RecordBatch.from_pydict({"cell": pa.array(cell[home])})
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for length, part in lengths(batches):
+            row, cell, home = cells(part, length)
+            for at in range(0, len(row), 20_000):
+                take = pa.array(row[at : at + 20_000])
+                yield pa.RecordBatch.from_arrays([pa.array(cell[at : at + 20_000]), *(part.column(c).take(take) for c in ("rep", "weight", "data")), pa.array(home[at : at + 20_000])], names=["cell", "id", "weight", "data", "home"])
+
+    sizes = materialize(arrow_map(reps, ["size", "data"], "cell long", count).groupBy("cell").agg(F.count("*").alias("homes")), "sizes")
+    dealt = arrow_map(reps, ["rep", "weight", "size", "data"], "cell long, id long, weight long, data binary, home boolean", assign).join(sizes, "cell")
 
     def links(data: list[bytes], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        found = np.array([np.frombuffer(x) for x in data])
+        found = unit_rows(data)
         return found[left] @ found[right].T >= threshold
 
-    found = materialize(link_blocks(dealt.join(sizes, "cell"), "cell_size", links, 1024), "links")
+    found = materialize(link_blocks(dealt, "homes", links, 1024), "links")
     linked = found.groupBy("id").agg(F.sum("n").alias("n")).withColumnRenamed("id", "rep")
     groups = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
     per_class = reps.select("digest", "rep", "weight").join(linked, "rep", "left").join(groups, "rep", "left")

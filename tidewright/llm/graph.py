@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import materialize, release
@@ -19,97 +19,114 @@ def connected_components(edges: DataFrame) -> DataFrame:
     node. Each round is written to the shared folder, so lineage stays short; hubs are joined by keys that Spark can
     split. Loops, repeated and reversed edges don't matter; null ends are left out.
     """
-    now = materialize(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = _state(now)
+    now, state = _write(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while state[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = now.select(F.col("v").alias("u"), F.col("u").alias("v")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        new = materialize(small, "edges")
-        old, now, before, state = now, new, state, _state(new)
+        old, before = now, state
+        now, state = _write(small)
         release(old)
         if state == before:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _state(edges: DataFrame) -> tuple:
-    """Number and an order-free digest of the edges, which are distinct."""
-    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31))).alias("s")).first()
-    return row["n"], row["x"], row["s"]
+def _write(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a table, with their number and an order-free digest, both seen while writing."""
+    seen = Observation()
+    watched = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31))).alias("s"))
+    out = materialize(watched, "edges")
+    return out, (seen.get["n"], seen.get["x"], seen.get["s"])
 
 
 def link_blocks(rows: DataFrame, size: str, links: Callable[[list[bytes], np.ndarray, np.ndarray], np.ndarray], block: int = 512) -> DataFrame:
     """Compares the rows of each cell and returns (id, n, root): n is the weight of the rows linked with id, root the
-    least id linked with it through links of one comparison; an id has a row for each comparison it took part in.
+    least id linked with it through links of one comparison; an id has a row for each comparison that links it.
 
     rows: cell (long), home (boolean), id (long), weight (long), data (binary), and the column `size`, the cell's number
-    of rows. Pairs with a home row in them are compared once: a cell larger than `block` is dealt into blocks, each
-    pair of blocks is a group of its own, and a task holds one group at a time. links(data, left, right) gives the
-    boolean matrix of which left rows link with which right rows.
+    of home rows. Each pair with a home row in it is compared once. A cell's home rows are dealt into parts of about
+    `block`; a part, its anchors, is held in memory, while the home rows of the parts before it and all guests stream
+    past, a block at a time. links(data, left, right) gives the boolean matrix of which left rows link with which
+    right rows.
     """
     parts = F.greatest(F.lit(1), F.ceil(F.col(size) / block)).cast("int")
-    own = rows.select("cell", "home", "id", "weight", "data", parts.alias("parts"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
-    dealt = own.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    dealt = dealt.select("cell", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "home", "id", "weight", "data")
-    dealt = dealt.repartition("cell", "low", "high").sortWithinPartitions("cell", "low", "high", "part", "id")
+    part = F.when(F.col("home"), F.pmod(F.xxhash64("id"), parts).cast("int")).otherwise(F.lit(0))
+    own = rows.select("cell", "home", "id", "weight", "data", parts.alias("parts"), part.alias("part"))
+    dealt = own.select("cell", "home", "id", "weight", "data", "part", F.explode(F.sequence("part", F.col("parts") - 1)).alias("against"))
+    dealt = dealt.select("cell", "against", (~F.col("home") | (F.col("part") != F.col("against"))).alias("passing"), "id", "weight", "data")
+    dealt = dealt.repartition("cell", "against").sortWithinPartitions("cell", "against", "passing", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        key = None
         out: list[tuple] = []
-        rows_out = 0
+        group, anchors, held = None, [], []
 
         def flush() -> pa.RecordBatch:
             i, n, r = (np.concatenate(x) for x in zip(*out, strict=True))
             out.clear()
             return pa.RecordBatch.from_pydict({"id": pa.array(i), "n": pa.array(n), "root": pa.array(r)})
 
+        def compare() -> None:
+            if anchors and held:
+                out.append(_compare(anchors, held, links))
+            held.clear()
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("cell", "low", "high")], axis=1)
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("cell", "against", "passing")], axis=1)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
             for at, to in zip(cuts, cuts[1:], strict=False):
-                if held and key != tuple(keys[at]):
-                    out.append(_compare(held, links))
-                    held = []
-                    rows_out += len(out[-1][0])
                 key = tuple(keys[at])
-                held.append(batch.slice(at, to - at))
-            if rows_out > 50_000:
+                if key != group:
+                    if group is not None and group[2]:
+                        compare()
+                    elif anchors:
+                        out.append(_compare(anchors, None, links))
+                    if group is None or key[:2] != group[:2]:
+                        anchors = []
+                    group = key
+                if not key[2]:
+                    anchors.append(batch.slice(at, to - at))
+                    continue
+                while at < to:
+                    step = min(to - at, block - sum(x.num_rows for x in held))
+                    held.append(batch.slice(at, step))
+                    at += step
+                    if sum(x.num_rows for x in held) >= block:
+                        compare()
+            if sum(len(x[0]) for x in out) > 50_000:
                 yield flush()
-                rows_out = 0
-        if held:
-            out.append(_compare(held, links))
+        if group is not None and group[2]:
+            compare()
+        elif anchors:
+            out.append(_compare(anchors, None, links))
         if out:
             yield flush()
 
     return dealt.mapInArrow(run, "id long, n long, root long")
 
 
-def _compare(held: list[pa.RecordBatch], links: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows = pa.Table.from_batches(held)
-    ids, weight, part, home = (rows.column(c).to_numpy() for c in ("id", "weight", "part", "home"))
+def _compare(anchors: list[pa.RecordBatch], others: list[pa.RecordBatch] | None, links: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors with others, or with each other."""
+    rows = pa.Table.from_batches(anchors + (others or []))
+    ids, weight = (rows.column(c).to_numpy() for c in ("id", "weight"))
     none = np.empty(0, dtype=np.int64)
     if len(ids) < 2:
         return none, none, none
-    data = rows.column("data").to_pylist()
-    cross = part[0] != part[-1]
-    left = np.flatnonzero(part == part[0]) if cross else np.arange(len(ids))
-    right = np.flatnonzero(part != part[0]) if cross else left
-    if not len(left) or not len(right):
-        return none, none, none
-    linked = links(data, left, right) & (home[left][:, None] | home[right][None, :])
-    if not cross:
+    first = sum(x.num_rows for x in anchors)
+    left = np.arange(first)
+    right = np.arange(first, len(ids)) if others else left
+    linked = links(rows.column("data").to_pylist(), left, right)
+    if not others:
         np.fill_diagonal(linked, False)
     if not linked.any():
         return none, none, none
     n = np.zeros(len(ids), dtype=np.int64)
     n[left] = linked @ weight[right]
-    if cross:
+    if others:
         n[right] = linked.T @ weight[left]
     root = ids.copy()
     top = np.iinfo(np.int64).max
