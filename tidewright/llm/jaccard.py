@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import arrow_map, materialize, mix64, ragged, release, slices, texts
+from tidewright.llm.common import IdFilter, arrow_map, materialize, mix64, ragged, release, slices, texts
 from tidewright.llm.graph import connected_components, link_blocks
 
 #: An odd base of the polynomial hash, and random values of the bytes.
@@ -186,8 +186,11 @@ def join_similar(docs: DataFrame, forest: Forest | None = None, id_col: str = "d
 
     words, threshold = forest.words, forest.threshold
     texts_ = own.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
+    texts_ = IdFilter(candidates.select("node")).keep(texts_, "node").hint("merge")
     loaded = candidates.join(sizes, "component").join(texts_, "node").select(F.col("component").alias("cell"), F.col("node").alias("id"), F.col("copies").alias("weight"), "size", "digest", "text")
-    loaded = loaded.mapInArrow(load, "cell long, id long, weight long, size long, home boolean, data binary").dropDuplicates(["id"]) if _repeats(ids, signed) else loaded.mapInArrow(load, "cell long, id long, weight long, size long, home boolean, data binary")
+    loaded = loaded.mapInArrow(load, "cell long, id long, weight long, size long, home boolean, data binary")
+    if _repeats(ids, signed):
+        loaded = loaded.dropDuplicates(["id"])
     found = materialize(link_blocks(loaded, "size", lambda data, left, right: same_sets(data, left, right, threshold)), "links")
     linked = found.groupBy("id").agg(F.sum("n").alias("n"))
     groups = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
