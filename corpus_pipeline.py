@@ -17,8 +17,7 @@ from tidewright.llm.common import materialize, table
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled documents; a document takes the language found, those that are rejected go."""
     found = langid.identify_languages(docs, langid.fit_languages(docs), whole_row=True)
-    kept = found.where("NOT rejected").select("lang_pred", "row.*")
-    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    return found.where("NOT rejected").select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +33,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without personal data and the terms that reveal it; n_chars counts the new text."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    found = pii.find_pii(docs.select("doc_id", "text", *others), keep=others)
-    return found.withColumn("text", F.col("sanitised")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    new = {"text": F.col("sanitised"), "n_chars": F.length("sanitised").cast("long")}
+    return pii.find_pii(docs, whole_row=True).select(*[(new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

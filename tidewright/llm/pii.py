@@ -198,26 +198,26 @@ def _text_counts(texts_: DataFrame, terms: DataFrame, rule: Disclosure) -> DataF
     return words.groupBy("term").agg(F.count("*").alias("n_text")).join(terms, "term")
 
 
-def find_pii(docs: DataFrame, terms: DataFrame | None = None, rule: Disclosure | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans, sanitised, and the columns named in `keep`.
+def find_pii(docs: DataFrame, terms: DataFrame | None = None, rule: Disclosure | None = None, id_col: str = "doc_id", text_col: str = "text", whole_row: bool = False) -> DataFrame:
+    """id, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans, sanitised; if asked, also row, a struct of all
+    columns but the text.
 
     terms: revealing_terms(docs) by default. Spans are kind:start:end, by start and kind, comma-joined, in code points
     of the whole text; base_sha256 is the digest of the base spans alone. A null text is empty, without spans, and its
-    sanitised text is null. Repeated rows agree; an empty table gives no rows. Columns not named in `keep` are neither
-    read nor returned, so theirs can't clash.
+    sanitised text is null. Repeated rows agree; an empty table gives no rows. Other columns are not
+    returned but in row, so their names can't clash.
     """
     rule = rule or Disclosure()
     terms = materialize(revealing_terms(docs, text_col, rule) if terms is None else terms.select("term", "action"), "terms").select("term", "action")
     small = _bytes(terms) <= rule.broadcast_bytes
     shared = docs.sparkSession.sparkContext.broadcast({r["term"]: r["action"] for r in terms.collect()} if small else {})
-    fields = {f.name: f for f in docs.schema}
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
+    others = F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("row")
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([others] if whole_row else []))
     if not small:  # too many terms to send: each text gets its own by a join
-        own = own.withColumn("row", F.monotonically_increasing_id())
-        own = materialize(own, "rows")
-        words = own.select("row", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))).alias("term"))
-        hits = words.join(terms, "term").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("terms"))
-        own = own.join(hits, "row", "left")
+        own = materialize(own.withColumn("at", F.monotonically_increasing_id()), "rows")
+        words = own.select("at", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))).alias("term"))
+        hits = words.join(terms, "term").groupBy("at").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("terms"))
+        own = own.join(hits, "at", "left").drop("at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         everywhere = shared.value
@@ -233,10 +233,9 @@ def find_pii(docs: DataFrame, terms: DataFrame | None = None, rule: Disclosure |
             columns = {"id": batch.column("id")}
             columns |= {f"n_{k}": pa.array([c[k] for c in counts], pa.int64()) for k in KINDS}
             columns |= {"base_sha256": pa.array([hashlib.sha256(written(x).encode()).hexdigest() for x in base], pa.string()), "spans": pa.array([written(x) for x in every], pa.string()), "sanitised": pa.array(clean, pa.string())}
-            columns |= {f"keep_{i}": batch.column(f"keep_{i}") for i in range(len(keep))}
-            yield pa.RecordBatch.from_pydict(columns)
+            yield pa.RecordBatch.from_pydict(columns | ({"row": batch.column("row")} if whole_row else {}))
 
-    schema = f"id {fields[id_col].dataType.simpleString()}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, sanitised string"
-    schema += "".join(f", keep_{i} {fields[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    out = own.drop("row").mapInArrow(run, schema).withColumnRenamed("id", id_col)
-    return out.withColumnsRenamed({f"keep_{i}": c for i, c in enumerate(keep) if c != id_col})
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, sanitised string"
+    if whole_row:
+        schema += f", row {own.schema['row'].dataType.simpleString()}"
+    return own.mapInArrow(run, schema).withColumnRenamed("id", id_col)
