@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidewright.operators.machines import Breaker, ConfirmationWindow, Cooldown, RateLimit, ReconnectPolicy
+from tidewright.shipping import ship
 
 
 def fold_sorted(rows: DataFrame, key: str, order: str, inputs: list[str], machine: Callable, results: T.StructType) -> DataFrame:
@@ -22,6 +23,7 @@ def fold_sorted(rows: DataFrame, key: str, order: str, inputs: list[str], machin
     key and results, which begin with the order column's value of the row they belong to."""
     schema = T.StructType([rows.schema[key], *results.fields])
     arrow = to_arrow_schema(schema)
+    ship(rows.sparkSession)
     dealt = rows.select(key, order, *[c for c in inputs if c != order]).repartition(key).sortWithinPartitions(key, order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

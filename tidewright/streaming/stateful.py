@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewright.operators.machines import Breaker, ConfirmationWindow, Cooldown, RateLimit
+from tidewright.shipping import ship
 
 #: The state store that holds more than memory.
 ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -18,6 +19,7 @@ ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql
 def machine_stream(events: DataFrame, key: str, order: str, inputs: list[str], machine: Callable, results: str) -> DataFrame:
     """Each key's events through its machine; a batch's events are sorted by `order` first, as a stream has no order
     within a batch. results: DDL of what the machine hands out. Append mode."""
+    ship(events.sparkSession)
     columns = [order, *inputs]
     kind = events.schema[key].dataType.simpleString()
     names = [f.name for f in T.StructType.fromDDL(results)]
