@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.shipping import ship
+
 #: Texts a Python worker turns into Python objects at once, in code points.
 SLICE_CHARS = 4_000_000
 
@@ -71,6 +73,7 @@ def texts(batch: pa.RecordBatch, column: str) -> list[str]:
 
 def arrow_map(df: DataFrame, columns: list, schema: str, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
     """mapInArrow over the given columns alone, so that others neither travel nor clash."""
+    ship(df.sparkSession)
     return df.select(*columns).mapInArrow(each, schema)
 
 
@@ -102,6 +105,7 @@ class IdFilter:
         """ids: one long column."""
         (column,) = ids.columns
         self.bits = bits
+        ship(ids.sparkSession)
 
         def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = np.zeros(bits // 64, dtype=np.uint64)

@@ -18,10 +18,12 @@ SPACED = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 @dataclass(frozen=True)
 class LanguageModel:
     """dictionaries: language -> bytes of sampled text. level, chunk: of the compressor, and the bytes it gets at once,
-    so that the dictionary tells in every part of a long text. min_margin: below it a prediction is rejected."""
+    so that the dictionary tells in every part of a long text. min_margin: below it a prediction is rejected, after
+    a second look at fine_level, whose matches may be of three bytes."""
 
     dictionaries: dict[str, bytes]
     level: int = 5
+    fine_level: int = 13
     chunk: int = 16384
     min_margin: float = 0.005
 
@@ -56,13 +58,19 @@ def fit_languages(docs: DataFrame, dictionary_bytes: int = 65536, docs_per_langu
 
 
 def compressors(model: LanguageModel) -> dict:
+    """language -> (compressor, the same for a second look)."""
     import zstandard
 
+    bare = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
+    settings = [zstandard.ZstdCompressionParameters.from_level(model.level, **bare), zstandard.ZstdCompressionParameters.from_level(model.fine_level, min_match=3, **bare)]
     out = {}
     for lang, content in sorted(model.dictionaries.items()):
-        data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        data.precompute_compress(level=model.level)
-        out[lang] = zstandard.ZstdCompressor(level=model.level, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)
+        both = []
+        for parameters in settings:
+            data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            data.precompute_compress(compression_params=parameters)
+            both.append(zstandard.ZstdCompressor(dict_data=data, compression_params=parameters))
+        out[lang] = tuple(both)
     return out
 
 
@@ -72,16 +80,22 @@ def judge(text: str, languages: dict, model: LanguageModel) -> tuple[str, float,
     if not any(c.isalpha() for c in text[:64]) and not any(c.isalpha() for c in text) or not languages:
         return "und", 0.0, True
     parts = [data[i : i + model.chunk] for i in range(0, len(data), model.chunk)]
-    order = sorted((sum(len(c.compress(p)) for p in parts), lang) for lang, c in languages.items())
-    margin = 1.0 if len(order) == 1 else 1 - order[0][0] / max(1, order[1][0])
+    sizes = dict.fromkeys(languages, 0)
+    for look in (0, 1):
+        for lang, both in languages.items():
+            sizes[lang] += sum(len(both[look].compress(p)) for p in parts)
+        order = sorted((n, lang) for lang, n in sizes.items())
+        margin = 1.0 if len(order) == 1 else 1 - order[0][0] / max(1, order[1][0])
+        if margin >= model.min_margin:
+            break
     return order[0][1], margin, margin < model.min_margin
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", whole_row: bool = False) -> DataFrame:
     """id, lang_pred, score (0 to 1), rejected; if asked, also row, a struct of all columns.
 
-    The whole text is compressed with each language's dictionary and the smallest size wins, ties by name; rejected is
-    set where the margin to the second is under min_margin, and with `und`: for a null text, one without a letter, or a
+    The whole text is compressed with each language's dictionary and the smallest size wins, ties by name. Where the
+    margin to the second is under min_margin, sizes at a finer level are added; rejected is set where it still is, and with `und`: for a null text, one without a letter, or a
     model without languages (score 0). Each row is judged alone, so repeated rows agree; an empty table gives no rows.
     Other columns are neither read nor returned.
     """

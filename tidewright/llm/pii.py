@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import arrow_map, materialize, slices, texts
+from tidewright.shipping import ship
 
 # The patterns and the order of kinds.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -208,6 +209,7 @@ def find_pii(docs: DataFrame, terms: DataFrame | None = None, rule: Disclosure |
     returned but in row, so their names can't clash.
     """
     rule = rule or Disclosure()
+    ship(docs.sparkSession)
     terms = materialize(revealing_terms(docs, text_col, rule) if terms is None else terms.select("term", "action"), "terms").select("term", "action")
     small = _bytes(terms) <= rule.broadcast_bytes
     shared = docs.sparkSession.sparkContext.broadcast({r["term"]: r["action"] for r in terms.collect()} if small else {})
