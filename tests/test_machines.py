@@ -8,6 +8,7 @@ from tidewright.functions import naming, pricing
 from tidewright.functions.cells import infer_type, stored_value
 from tidewright.functions.pricing import Fees
 from tidewright.operators import reliability as R
+from tidewright.operators import submission as S
 from tidewright.operators.machines import BlockWriter, Breaker, ConfirmationWindow, Cooldown, RateLimit, ReconnectPolicy
 
 
@@ -186,3 +187,43 @@ def test_wrappers():
     for i in range(3):
         run(i)
     assert [t for _, t in paced.calls] == [0, 0, 1000]
+
+
+class Node:
+    def __init__(self, confirms_at=None):
+        self.sent, self.asked, self.confirms_at = [], 0, confirms_at
+
+    def estimate_gas(self, tx):
+        self.asked += 1
+        return 21000
+
+    def estimate_fees(self):
+        return Fees(200, 20)
+
+    def nonce(self):
+        return 7
+
+    def send(self, tx):
+        self.sent.append(tx)
+        return len(self.sent)
+
+    def confirmed(self, sent, wait_ms):
+        return sent == self.confirms_at
+
+
+def test_submission():
+    node = Node()
+    with pytest.raises(pricing.PricingError):
+        S.Submitter(node)(S.Submission(profit=1, bid=101))
+    assert not node.asked
+    S.Submitter(node)(S.Submission({"to": "x"}))
+    assert node.sent == [{"to": "x", "gas": 21000, "max_fee": 200, "priority_fee": 20}]
+    node = Node(confirms_at=2)
+    S.Submitter(node, replacement=S.Replacement(most=2))(S.Submission())
+    assert [(t["nonce"], t["max_fee"], t["priority_fee"]) for t in node.sent] == [(7, 200, 20), (7, 250, 25)]
+    node = Node()
+    with pytest.raises(S.Unconfirmed, match="3 attempts"):
+        S.Submitter(node, replacement=S.Replacement(most=2))(S.Submission({"nonce": 3}))
+    assert [t["max_fee"] for t in node.sent] == [200, 250, 312] and node.sent[0]["nonce"] == 3
+    with pytest.raises(pricing.PricingError):
+        S.Replacement(percent=105)

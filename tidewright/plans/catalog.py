@@ -16,6 +16,7 @@ from tidewright.functions import cells, naming, pricing
 from tidewright.operators import combinators as C
 from tidewright.operators import ordering as O
 from tidewright.operators import reliability as R
+from tidewright.operators import submission as S
 from tidewright.plans import serving
 from tidewright.sources.archive import Archive, table_keywords
 from tidewright.sources.schema import EventSchema
@@ -439,6 +440,15 @@ def escalate_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fees(spark, sf_dir).select("o_orderkey", F.inline(ladder))
 
 
+@query(f"""WITH RECURSIVE l AS (SELECT o_orderkey, 0 AS attempt, max_fee, least(prio, max_fee) AS priority_fee FROM ({_FEES}) UNION ALL
+SELECT o_orderkey, attempt + 1, max_fee * 125 // 100, least(priority_fee * 125 // 100, max_fee * 125 // 100) FROM l WHERE attempt < 3 AND (o_orderkey * 7919 + attempt * 31) % 10 < 3)
+SELECT o_orderkey, attempt, max_fee, priority_fee, (o_orderkey * 7919 + attempt * 31) % 10 >= 3 AS confirmed FROM l""")
+def replacement_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fees = _fees(spark, sf_dir).select("o_orderkey", F.col("max_fee").alias("top"), "prio")
+    key = F.col("o_orderkey")
+    return S.replacement_attempts(fees, F.col("top"), F.col("prio"), S.Replacement(), lambda n: _ok(key, n)).drop("top", "prio")
+
+
 # streams
 
 
