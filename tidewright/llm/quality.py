@@ -15,30 +15,39 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[^#*$%&|<>]+"
 WINDOW = 8
-#: Classes of characters; what is in none is the last class.
-CLASSES = (r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", r"\s", r".,;:!?'\"()\-", r"#*$%&|<>")
+#: Common words of a language, at most.
+TOP = 20
+#: Classes of characters beside white space; what is in none, small letters above all, is the last class.
+CLASSES = (r"\p{Lu}", r"\p{Nd}", r".,;:!?'\"()\-", r"#*$%&|<>")
+BLANKS = (" ", "\n", "\t")
+#: Small letters and white space, most of a text and in none of CLASSES: taken out before these are counted.
+COMMON = r"[a-zß-öø-ÿ\s]+"
 
 
 def _count(text: Column, inside: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{inside}]+", ""))
 
 
-def _classes(text: Column) -> Column:
-    return F.array(*[_count(text, x) for x in CLASSES])
+def _classes(text: Column, marks: Column) -> Column:
+    """Counts of white space and of CLASSES; marks: the text without COMMON."""
+    solid = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), BLANKS, text)
+    return F.array(F.length(text) - F.length(solid), *[_count(marks, x) for x in CLASSES])
 
 
 def _with_rest(counts: Column, total: Column) -> Column:
     return F.concat(counts, F.array(total - F.aggregate(counts, F.lit(0), lambda a, x: a + x)))
 
 
-def common_words(text: Column, longest: int) -> Column:
-    """The lower-case words of letters, those up to `longest` letters; joined histograms take only these."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: (w != "") & (F.length(w) <= longest))
+def letter_words(text: Column) -> Column:
+    """The lower-case words of letters."""
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}]+"), "")
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words: counted over the whole text (null: empty)."""
+    """id, text, marks (the text without COMMON), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words: counted over
+    the whole text (null: empty)."""
     found = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[c for c in ("lang", "row") if c in docs.columns and c not in (id_col, text_col)])
+    found = found.withColumn("marks", F.regexp_replace("text", COMMON, ""))
     others = [c for c in found.columns if c not in (id_col,)]
     found = found.select("*", F.array_remove(F.split("text", SPACE, -1), "").alias("words"), F.filter(F.split("text", "\n", -1), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))).alias("lines"))
     found = found.select(
@@ -46,13 +55,18 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         *others,
         F.size("words").cast("long").alias("n_words"),
         F.length(F.regexp_replace("text", SPACE, "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace("text", SYMBOLS, "")).cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace("marks", SYMBOLS, "")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
     )
     kept = [c for c in found.columns if c != "hashes"]
-    places = F.when(F.size("hashes") >= WINDOW, F.sequence(F.lit(0), F.size("hashes") - WINDOW)).otherwise(F.array().cast("array<int>"))
-    found = found.select(*kept, F.transform(places, lambda i: F.xxhash64(*[F.get("hashes", i + k) for k in range(WINDOW)])).alias("windows"))
+    step = 1
+    while step < WINDOW:  # a hash of 2, 4, 8 words from two of half as many
+        left = F.slice(F.col("hashes"), F.lit(1), F.greatest(F.size("hashes") - step, F.lit(0)))
+        right = F.slice(F.col("hashes"), F.lit(step + 1), F.greatest(F.size("hashes") - step, F.lit(0)))
+        found = found.select(*kept, F.zip_with(left, right, lambda x, y: F.xxhash64(x, y)).alias("hashes"))
+        step *= 2
+    found = found.withColumnRenamed("hashes", "windows")
     repeats = F.size(F.array_distinct("windows")) < F.size("windows")
     pairs = F.when(repeats, F.sort_array(F.transform("windows", lambda x, i: F.struct(x.alias("hash"), i.alias("at"))))).otherwise(F.array().cast("array<struct<hash:bigint,at:int>>"))
     found = found.select(*kept, pairs.alias("pairs"))
@@ -62,27 +76,31 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return found.select(*kept, F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_repeat_words"))
 
 
-def language_references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", top: int = 30, longest: int = 6, min_docs: int = 20, max_languages: int = 64) -> DataFrame:
-    """lang, classes (shares), words (the top most frequent), shares (of these, and of all others last), over all documents.
+def language_references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", top: int = TOP, longest: int = 6, min_docs: int = 20, max_languages: int = 64) -> DataFrame:
+    """lang, classes (shares), words (the top most frequent of up to `longest` letters), shares (of these, and of all other
+    words last), over all documents.
 
     Languages with fewer than min_docs documents have none; the max_languages most frequent stay, so the result is
     of bounded size. Ties in frequency go by the word.
     """
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    counted = rows.select("lang", F.length("text").alias("chars"), _classes(F.col("text")).alias("classes"))
-    sums = [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))]
+    counted = rows.select("lang", "text", F.regexp_replace("text", COMMON, "").alias("marks"))
+    counted = counted.select("lang", F.length("text").alias("chars"), _classes(F.col("text"), F.col("marks")).alias("classes"))
+    width = len(CLASSES) + 1
+    sums = [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(width)]
     classes = counted.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("chars").alias("chars"), *sums).where(f"docs >= {min_docs} AND chars > 0").orderBy(F.desc("docs"), "lang").limit(max_languages)
-    known = [F.col(f"c{i}") / F.col("chars") for i in range(len(CLASSES))]
+    known = [F.col(f"c{i}") / F.col("chars") for i in range(width)]
     classes = classes.select("lang", F.array(*known, F.greatest(F.lit(0.0), 1 - reduce(Column.__add__, known))).alias("classes"))
-    words = rows.select("lang", F.explode(common_words(F.col("text"), longest)).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    words = rows.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
+    words = words.select("lang", F.when(F.length("word") <= longest, F.col("word")).otherwise("").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy("lang", "part"))
     first = words.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(64)))
-    order = [F.desc("n"), F.col("word")]
+    order = [(F.col("word") == "").asc(), F.desc("n"), F.col("word")]  # the empty word stands for all long ones
     first = first.select("lang", "word", "n", total.alias("total"), F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order)).alias("place")).where(f"place <= {top}")
     best = first.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
     whole = best.groupBy("lang").agg(
         F.sum(F.when(F.col("place") == 1, F.col("total"))).alias("total"),
-        F.sort_array(F.collect_list(F.when(F.col("at") <= top, F.struct("at", "word", "n")))).alias("best"),
+        F.sort_array(F.collect_list(F.when((F.col("at") <= top) & (F.col("word") != ""), F.struct("at", "word", "n")))).alias("best"),
     )
     shares = F.transform("best", lambda x: x["n"] / F.col("total"))
     whole = whole.select("lang", F.transform("best", lambda x: x["word"]).alias("words"), F.concat(shares, F.array(F.greatest(F.lit(0.0), 1 - F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)))).alias("shares"))
@@ -99,13 +117,13 @@ def jensen_shannon(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(F.zip_with(p, q, part), F.lit(0.0), lambda a, x: a + x) / 2))
 
 
-def quality_rules(docs: DataFrame, references: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", max_class_distance: float = 0.35, max_word_distance: float = 0.55, min_chars: int = 200, min_words: int = 50, longest: int = 6, whole_row: bool = False) -> DataFrame:
+def quality_rules(docs: DataFrame, references: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", max_class_distance: float = 0.33, max_word_distance: float = 0.42, min_chars: int = 200, min_words: int = 50, longest: int = 6, whole_row: bool = False) -> DataFrame:
     """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance, kept;
     if asked, also row, a struct of all columns.
 
     docs: id, text, lang. base_failed: under 20 words, or over 30 % of words in repeated windows. kept: not base_failed,
     and no distance over its limit. A distance is null, and judges nothing, for a text under min_chars characters or
-    min_words common words, or a language (or null) without a reference. references: language_references(docs) by
+    min_words words of letters, or a language (or null) without a reference. references: language_references(docs) by
     default; of bounded size, broadcast. A null text is empty and fails. Whole texts are counted, however long; repeated
     rows agree; an empty table gives no rows. Columns other than these are neither read nor returned.
     """
@@ -115,17 +133,17 @@ def quality_rules(docs: DataFrame, references: DataFrame | None = None, id_col:
     found = measures(own, "id").join(F.broadcast(references), "lang", "left")
     base = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *(["row"] if whole_row else [])]
     long_enough = F.col("classes").isNotNull() & (F.length("text") >= min_chars)
-    found = found.select(*base, "classes", "words", "shares", F.length("text").alias("chars"), F.when(long_enough, _classes(F.col("text"))).alias("counts"), F.when(long_enough, common_words(F.col("text"), longest)).alias("own"))
+    found = found.select(*base, "classes", "words", "shares", F.length("text").alias("chars"), F.when(long_enough, _classes(F.col("text"), F.col("marks"))).alias("counts"), F.when(long_enough, letter_words(F.col("text"))).alias("own"))
     found = found.select(
         *base,
         "classes",
         "shares",
         F.transform(_with_rest(F.col("counts"), F.col("chars")), lambda x: x / F.col("chars")).alias("own_classes"),
         F.size("own").alias("n_own"),
-        F.filter(F.transform("own", lambda w: F.array_position("words", w)), lambda x: x > 0).alias("hits"),
+        F.array_remove(F.transform("own", lambda w: F.array_position("words", w)), 0).alias("hits"),
     )
-    counts = F.transform(F.sequence(F.lit(1), F.size("shares") - 1), lambda b: F.size(F.filter("hits", lambda x: x == b)) / F.col("n_own"))
-    counts = F.concat(counts, F.array((F.col("n_own") - F.size("hits")) / F.col("n_own")))
+    counts = F.array(*[(F.size("hits") - F.size(F.array_remove("hits", b))) / F.col("n_own") for b in range(1, TOP + 1)])
+    counts = F.concat(F.slice(counts, F.lit(1), F.size("shares") - 1), F.array((F.col("n_own") - F.size("hits")) / F.col("n_own")))
     found = found.select(*base, F.when(F.col("own_classes").isNotNull(), jensen_shannon(F.col("own_classes"), F.col("classes"))).alias("class_distance"), F.when(F.col("n_own") >= min_words, jensen_shannon(counts, F.col("shares"))).alias("word_distance"))
     found = found.select(*base, ((F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).alias("base_failed"), "class_distance", "word_distance")
     far = (F.coalesce("class_distance", F.lit(0.0)) > max_class_distance) | (F.coalesce("word_distance", F.lit(0.0)) > max_word_distance)
