@@ -382,6 +382,11 @@ def test_chat(spark):
         assert found[i]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in turns).encode()).hexdigest()
         assert (found[i]["loss_chars"], found[i]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert found[-7]["valid"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{SF}/conversations.parquet')")
+    sql = con.execute(queries.ORACLE_SQL["op10_chat_format"])
+    names = [d[0] for d in sql.description]
+    assert sorted(map(repr, queries.op10_chat_format(spark, SF).select(*names).rdd.map(tuple).collect())) == sorted(map(repr, sql.fetchall()))
 
 
 def test_chat_odd(spark):

@@ -89,7 +89,34 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_pii, op2_byte_bpe, op3_language_id, op4_url_filter, op5_license_scan, op6_packing, op7_quality, op8_ngram_join, op9_embedding_dedup, op10_chat_format)}
 
 _KNOWN = " UNION ALL ".join("SELECT '{}' AS license_id, '{}' AS body".format(k, v.replace("'", "''")) for k, v in licenses.KNOWN.items())
+_TEMPLATE = chat.Template()
+
+
+def _escaped_sql(text: str) -> str:
+    """chat.escape() as a DuckDB expression."""
+    sql = f"replace({text}, '\\', '\\\\')"
+    for control in _TEMPLATE.controls:
+        sql = f"replace({sql}, '{control}', '{control[0]}\\{control[1:]}')"
+    return sql
+
+
+_SHOWN = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _TEMPLATE.names.items())
 ORACLE_SQL = {
+    "op10_chat_format": f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{FORGED}' UNION ALL SELECT -7, 1, 'assistant', '{FORGED}'),
+placed AS (SELECT *, lag(r) OVER w AS before, lead(r) OVER w AS after FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, t)),
+judged AS (SELECT *, '{_TEMPLATE.head}' || CASE r {_SHOWN} ELSE '@' || replace({_escaped_sql("r")}, ':', '\\:') END || '{_TEMPLATE.colon}' || {_escaped_sql("t")} || '</turn>' || chr(10) AS shown,
+  CASE WHEN before IS NULL THEN r IN ('system', 'user') WHEN before = 'system' THEN r = 'user' WHEN before = 'user' THEN r = 'assistant'
+       WHEN before = 'assistant' THEN r IN ('user', 'tool') WHEN before = 'tool' THEN r IN ('assistant', 'tool') ELSE false END
+  AND (after IS NOT NULL OR r = 'assistant') AS fine FROM placed)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, r, t)) AS turns_sha256,
+  CAST(sum(CASE WHEN r = 'assistant' THEN length(t) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN r = 'assistant' THEN t ELSE '' END, '' ORDER BY turn NULLS FIRST, r, t), '')) AS loss_sha256,
+  CAST(sum(length(shown)) AS BIGINT) AS formatted_chars, bool_and(fine) AS valid
+FROM judged GROUP BY conv_id""",
     "op5_license_scan": f"""
 WITH listed AS ({_KNOWN}),
 known AS (SELECT sha256({licenses.canonical_sql("body")}) AS digest, min(license_id) AS license_id FROM listed GROUP BY 1),
