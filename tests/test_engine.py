@@ -15,7 +15,7 @@ from tidewright.operators.machines import ReconnectPolicy
 from tidewright.operators.reliability import ManualClock
 from tidewright.plans import serving
 from tidewright.sources.archive import Archive, ReadOnlyArchive
-from tidewright.sources.collectors import IndexedSource, RangeTooLarge, read_table, subscribe_or_poll
+from tidewright.sources.collectors import IndexedSource, LogSource, RangeTooLarge, look_up_remote, read_table, subscribe_or_poll
 from tidewright.sources.live import BlockDataSource
 from tidewright.sources.schema import EventSchema, SchemaError
 from tidewright.streaming import stateful
@@ -218,6 +218,20 @@ def test_combinators(spark):
     assert list(windows(5, 4)) == []
 
 
+def test_remote_look_up_and_logs(spark):
+    def fetch(n):
+        if n == 3:
+            raise OSError("not found")
+        return None if n == 4 else (n, f"tx{n}")
+
+    keys = spark.range(40)
+    got = sorted(tuple(r) for r in look_up_remote(keys, "id", fetch, "id long, tx string", concurrent=8).collect())
+    assert got == [(n, f"tx{n}") for n in range(40) if n not in (3, 4)]
+    logs = spark.createDataFrame([("a", ["t"], 1, 0, False), ("a", ["u"], 2, 1, False), ("b", ["t"], 3, 2, False), ("a", ["t"], 4, 3, True), ("a", ["t"], None, 4, False), ("a", [], 5, 5, False)], "address string, topics array<string>, block_number long, seq long, removed boolean")
+    source = LogSource(logs, ["a"], ["t"])
+    assert [r["seq"] for r in source.range(0, 9).collect()] == [0] and source.tip() == 1
+
+
 def test_batch_forms_agree_with_machines(spark):
     df = spark.range(3000).selectExpr("id AS seq", "id % 7 AS stream", "(id * 7919) % 10 >= 3 AS ok")
     key = lambda d: sorted(map(tuple, d.select("stream", "seq", "verdict").collect()))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor, wait
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 
 from tidewright.operators.combinators import block_range, indexed
@@ -85,3 +87,25 @@ def read_table(spark: SparkSession, where: str) -> DataFrame:
     if not colon or kind in ("file", "hdfs", "s3a", "viewfs", "abfs", "gs"):
         return spark.read.parquet(where)
     raise ValueError(f"no source for {where!r}")
+
+
+def look_up_remote(keys: DataFrame, column: str, fetch: Callable, schema: str, concurrent: int = 16, timeout_s: float = 10.0) -> DataFrame:
+    """What fetch(key) gives for each key, as rows of the schema, in no order: up to `concurrent` calls of a task at a
+    time. A key without a result (None), with an error, or not answered in time is dropped. fetch runs on executors."""
+    names = [f.name for f in T.StructType.fromDDL(schema)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(concurrent) as pool:
+            for batch in batches:
+                values = batch[column].tolist()
+                for at in range(0, len(values), concurrent):
+                    calls = [pool.submit(fetch, v) for v in values[at : at + concurrent]]
+                    done, late = wait(calls, timeout_s)
+                    for c in late:
+                        c.cancel()
+                    rows = [c.result() for c in done if c.exception() is None]
+                    found = [r for r in rows if r is not None]
+                    if found:
+                        yield pd.DataFrame(found, columns=names)
+
+    return keys.select(column).mapInPandas(run, schema)
