@@ -23,7 +23,7 @@ from tidewright.llm.common import arrow_map, ragged, slices, texts
 
 NONE = np.int32(2**31 - 1)
 #: Words a worker remembers; beyond it the memory starts anew, results stay the same.
-REMEMBERED = 600_000
+REMEMBERED = 350_000
 #: Cells of one matrix of words.
 CELLS = 1 << 21
 #: Rows longer than this are merged one by one, many pairs a round.
