@@ -18,7 +18,7 @@ class RangeTooLarge(RuntimeError):
 
 
 # What providers say when a range is too large.
-TOO_LARGE = ("query returned more than", "block range", "range is too large", "too many results", "response size exceeded", "limit exceeded", "exceeds the range")
+TOO_LARGE = ("block range", "response size", "max results", "too many results", "query returned more than", "-32602", "too big")
 # End of fixed values.
 
 

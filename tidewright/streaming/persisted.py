@@ -58,6 +58,8 @@ class Persisted:
     def __init__(self, source: IndexedSource, archive: Archive, schema: EventSchema | None = None, signature: str | None = None, start_block: int = 0, to_block: int | None = None, chunk: int = CHUNK, depth: int = 1):
         if schema is None and signature is None:
             raise SchemaError("declare a schema or name the event's signature")
+        if depth < 1 or chunk < 1:
+            raise ValueError("a confirmation depth and a chunk are at least one block")
         self.source, self.archive, self.schema, self.signature = source, archive, schema, signature
         self.start_block, self.to_block, self.chunk, self.depth = start_block, to_block, chunk, depth
         self.replayed = False
