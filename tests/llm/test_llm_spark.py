@@ -359,6 +359,18 @@ def test_vectors_against_all_pairs(spark, monkeypatch, block):
     assert embeddings.link_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rank", [2, 5])
+def test_vectors_of_low_rank(spark, rank):
+    """Variance in few directions, where differences lie along the borders' normals, and many cells."""
+    rng = np.random.default_rng(rank)
+    x = rng.normal(size=(500, rank)) @ rng.normal(size=(rank, 64))
+    rows = {i: v.astype(np.float32).tolist() for i, v in enumerate(x)}
+    links = plain_links(rows)
+    classes = components(links)
+    found = by_id(embeddings.link_vectors(spark.createDataFrame([*rows.items()], "vec_id long, embedding array<float>"), cell_rows=10), "vec_id")
+    assert {i: (r["n_links"], r["component_id"]) for i, r in found.items()} == {i: (len(links[i]), classes[i]) for i in rows}
+
+
 def test_vector_query_recall(spark):
     vectors = {r["vec_id"]: r["embedding"] for r in queries.table(spark, SF, "embeddings").collect()}
     links = plain_links(vectors)

@@ -40,13 +40,13 @@ def cells_of(vectors: np.ndarray, centres: np.ndarray, reach: float) -> tuple[np
     near = vectors @ centres.T
     home = near.argmax(axis=1)
     apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 1e-18))
-    gap = (near[np.arange(len(near)), home][:, None] - near) / apart[home]
-    guest = (gap <= reach) & (np.arange(len(centres)) < home[:, None])
+    gap = near[np.arange(len(near)), home][:, None] - near
+    guest = (gap <= reach * apart[home] + 1e-7) & (np.arange(len(centres)) < home[:, None])  # of nearly equal centres apart is only exact to 1e-8
     rows, cells = np.nonzero(guest)
     return np.concatenate((np.arange(len(near)), rows)), np.concatenate((home, cells)), np.concatenate((np.ones(len(near), dtype=bool), np.zeros(len(rows), dtype=bool)))
 
 
-def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, sample: int = 20_000, cell_rows: int = 1000, max_cells: int = 512, sigmas: float = 3.0) -> DataFrame:
+def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, sample: int = 20_000, cell_rows: int = 1000, max_cells: int = 512) -> DataFrame:
     """A row for each id: id, n_links, component_id, kept (whether it is its component's least id).
 
     Linked are vectors of one length with a cosine, in double precision, of at least the threshold. Null, zero and
@@ -55,9 +55,9 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     without an id are left out. An empty table gives no rows. Other columns are neither read nor returned.
 
     The centroids are fitted on about `sample` vectors, drawn by a hash of the digest; every vector is assigned. A vector is also
-    compared in the cells whose border is within reach: of a pair at the threshold, the part of the difference that
-    crosses a border has the deviation sqrt(1 - threshold^2) / sqrt(dimensions) in a random direction, and the reach is
-    `sigmas` of these, never over sqrt(2 - 2 threshold), from where on nothing can be missed.
+    compared in the cells whose border is within sqrt(1 - threshold^2): a border is a plane through 0, and a unit vector
+    further from it has no unit vector of that cosine beyond it. So no pair is missed, however the vectors are spread;
+    of evenly spread ones most meet in some cell, and comparisons come near to those of all pairs.
     """
 
     single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
@@ -96,14 +96,13 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         if some:
             models[size] = spherical_kmeans(unit_rows(some), min(max_cells, -(-n // cell_rows)))
     shared = vectors.sparkSession.sparkContext.broadcast(models)
-    spread = sigmas * math.sqrt(1 - threshold**2)
+    reach = math.sqrt(1 - threshold**2) if threshold > 0 else 1.0
 
     def cells(part: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         found = unit_rows(part.column("data").to_pylist())
         centres = shared.value.get(length)
         if centres is None:
             return np.arange(len(found)), np.full(len(found), length << 20), np.ones(len(found), dtype=bool)
-        reach = min(spread / math.sqrt(length), math.sqrt(2 - 2 * threshold)) + 1e-9
         row, cell, home = cells_of(found, centres, reach)
         return row, (length << 20) + cell, home
 
