@@ -85,6 +85,20 @@ def test_revealing_terms(spark):
     assert joined == found
 
 
+def test_terms_with_marks_on_both_paths(spark):
+    """Words as Python cuts them, in lower case one by one, however many candidates there are."""
+    rng = random.Random(2)
+    plain = lambda: " ".join(rng.choice(["tree", "stone", "river", "hill", "cloud", "rain"]) for _ in range(12))
+    texts = [f"{plain()} \u0939\u093f\u0928\u094d\u0926\u0940 cafe\u0301 x\u00b2 \u0130zmir joe@mail.example \u00bd \u0e17\u0e35\u0e48 {plain()}" for _ in range(6)]
+    docs = docs_of(spark, texts + [plain() for _ in range(60)])
+    small, large = (pii.Disclosure(broadcast_bytes=b) for b in (32 << 20, 0))
+    terms = {r["term"]: r["ratio"] for r in pii.revealing_terms(docs, rule=small).collect()}
+    assert {"\u0939", "\u0928", "\u0926", "cafe", "x\u00b2", "\u0130zmir".lower(), "\u00bd", "\u0e17"} <= set(terms)
+    assert {r["term"]: r["ratio"] for r in pii.revealing_terms(docs, rule=large).collect()} == pytest.approx(terms)
+    found = by_id(pii.find_pii(docs, rule=small))
+    assert found[0]["n_term"] >= 8 and by_id(pii.find_pii(docs, rule=large)) == found
+
+
 def test_pii_odd(odd):
     edges_hold(pii.find_pii, odd, 11)
 

@@ -14,6 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -113,6 +114,11 @@ def contexts(text: str, spans: list[Span], near: int) -> Iterator[tuple[str, lis
         yield entity(kind, text[a:b]), words(text[low:a], low)[-near:] + words(text[b:high], b)[:near]
 
 
+def words_of(text: str) -> set[str]:
+    """The text's different words, cut as in contexts() and term_spans() and then in lower case."""
+    return {w.lower() for w in {*WORD.findall(text)}}
+
+
 def term_spans(text: str, terms: dict[str, str], spans: list[Span]) -> list[Span]:
     """Where the terms stand in the text, base spans left out."""
     taken = [(a, b) for _, a, b in spans]
@@ -190,13 +196,19 @@ def _text_counts(texts_: DataFrame, terms: DataFrame, rule: Disclosure) -> DataF
             if terms:
                 for batch in slices(batches, "text"):
                     for text in texts(batch, "text"):
-                        found.update(terms.intersection(WORD.findall(text.lower())))
+                        found.update(terms.intersection(words_of(text)))
             yield pa.RecordBatch.from_pydict({"term": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
 
         counted = arrow_map(texts_, ["text"], "term string, n long", count)
         return counted.groupBy("term").agg(F.sum("n").alias("n_text"))
-    words = texts_.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))).alias("term"))
-    return words.groupBy("term").agg(F.count("*").alias("n_text")).join(terms, "term")
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            found = Counter(w for text in texts(batch, "text") for w in words_of(text))
+            yield pa.RecordBatch.from_pydict({"term": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
+
+    words = arrow_map(texts_, ["text"], "term string, n long", explode)
+    return words.groupBy("term").agg(F.sum("n").alias("n_text")).join(terms, "term")
 
 
 def find_pii(docs: DataFrame, terms: DataFrame | None = None, rule: Disclosure | None = None, id_col: str = "doc_id", text_col: str = "text", whole_row: bool = False) -> DataFrame:
@@ -217,7 +229,14 @@ def find_pii(docs: DataFrame, terms: DataFrame | None = None, rule: Disclosure |
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([others] if whole_row else []))
     if not small:  # too many terms to send: each text gets its own by a join
         own = materialize(own.withColumn("at", F.monotonically_increasing_id()), "rows")
-        words = own.select("at", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))).alias("term"))
+
+        def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "text"):
+                found = [[*words_of(x)] for x in texts(batch, "text")]
+                at = np.repeat(batch.column("at").to_numpy(), [len(x) for x in found])
+                yield pa.RecordBatch.from_pydict({"at": pa.array(at), "term": pa.array([w for x in found for w in x], pa.string())})
+
+        words = arrow_map(own, ["at", "text"], "at long, term string", explode)
         hits = words.join(terms, "term").groupBy("at").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("terms"))
         own = own.join(hits, "at", "left").drop("at")
 
