@@ -85,6 +85,15 @@ def test_revealing_terms(spark):
     assert joined == found
 
 
+def test_copies_leave_terms(spark):
+    docs = pii_corpus(spark)
+    ratios = lambda d: {r["term"]: r["ratio"] for r in pii.revealing_terms(d).collect()}
+    assert ratios(docs.union(docs).union(docs)) == pytest.approx(ratios(docs))
+    ends = spark.range(200).select(F.col("id").cast("string").alias("end"))  # one passage in many different texts
+    near = docs.where("doc_id < 6").crossJoin(ends).withColumn("text", F.concat("text", F.lit(" cloud "), "end")).drop("end")
+    assert {"zorblat", "4711"} <= set(ratios(docs.union(near)))
+
+
 def test_terms_with_marks_on_both_paths(spark):
     """Words as Python cuts them, in lower case one by one, however many candidates there are."""
     rng = random.Random(2)

@@ -150,8 +150,8 @@ def sanitise(text: str, spans: list[Span], terms: dict[str, str]) -> str:
 def revealing_terms(docs: DataFrame, text_col: str = "text", rule: Disclosure | None = None) -> DataFrame:
     """term, action (generalise or remove), ratio: the terms whose disclosure of some entity exceeds a threshold.
 
-    P(e|t) is the number of different contexts of e with t over the number of texts with t; P(e) that of different
-    contexts of e over the number of texts. All texts count.
+    P(e|t) is the number of texts with t near e over the number of texts with t; P(e) that of texts with e over the
+    number of texts. All these are numbers of different texts, so that copies count neither above nor below.
     """
     rule = rule or Disclosure()
 
@@ -159,21 +159,23 @@ def revealing_terms(docs: DataFrame, text_col: str = "text", rule: Disclosure |
         for batch in slices(batches, "text"):
             rows = []
             for text in texts(batch, "text"):
+                own = hashlib.blake2b(text.encode(), digest_size=16).digest()
                 for who, words in contexts(text, base_spans(text), rule.near):
                     place = hashlib.blake2b("\0".join(words).encode(), digest_size=16).digest()
                     key = hashlib.blake2b(who.encode(), digest_size=16).digest()
-                    rows += [(key, place, w) for w in {*words, ""}]
+                    rows += [(key, place, own, w) for w in {*words, ""}]
             if rows:
-                key, place, word = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_pydict({"entity": pa.array(key, pa.binary()), "place": pa.array(place, pa.binary()), "term": pa.array(word, pa.string())})
+                key, place, own, word = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_pydict({"entity": pa.array(key, pa.binary()), "place": pa.array(place, pa.binary()), "doc": pa.array(own, pa.binary()), "term": pa.array(word, pa.string())})
 
     only = docs.select(F.col(text_col).alias("text"))
-    seen = arrow_map(only, ["text"], "entity binary, place binary, term string", near).distinct()
-    pairs = materialize(seen.groupBy("entity", "term").agg(F.count("*").alias("n")).where(f"n >= {rule.contexts}"), "cooccurrence")
+    seen = arrow_map(only, ["text"], "entity binary, place binary, doc binary, term string", near).distinct()
+    pairs = seen.groupBy("entity", "term").agg(F.count_distinct("place").alias("places"), F.count_distinct("doc").alias("n"))
+    pairs = materialize(pairs.where(f"places >= {rule.contexts}").drop("places"), "cooccurrence")
     entities = pairs.where("term = ''").select("entity", F.col("n").alias("n_entity"))
     together = pairs.where("term <> ''")
     terms = materialize(together.select("term").distinct(), "candidates")
-    with_text = only.where("text IS NOT NULL")
+    with_text = _different(only.where("text IS NOT NULL"))
     often = _text_counts(with_text, terms, rule)
     total = with_text.count()
     ratio = F.log2(F.least(F.lit(1.0), F.col("n") / F.col("n_text")) * total / F.col("n_entity")) / F.log2(total / F.col("n_entity"))
@@ -182,12 +184,21 @@ def revealing_terms(docs: DataFrame, text_col: str = "text", rule: Disclosure |
     return found.select("term", F.when(F.col("ratio") >= rule.remove, "remove").otherwise("generalise").alias("action"), "ratio")
 
 
+def _different(texts_: DataFrame) -> DataFrame:
+    """Each text once. Only the texts whose hash comes more than once are shuffled, as long as Spark can broadcast
+    their hashes."""
+    keyed = texts_.select("text", F.xxhash64("text").alias("key"))
+    often = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "copied")
+    single = keyed.join(often, "key", "left_anti").select("text")
+    return single.unionAll(keyed.join(often, "key", "left_semi").select("text").distinct())
+
+
 def _bytes(terms: DataFrame) -> int:
     return terms.agg(F.sum(F.octet_length("term") + 64).alias("n")).first()["n"] or 0
 
 
 def _text_counts(texts_: DataFrame, terms: DataFrame, rule: Disclosure) -> DataFrame:
-    """term, n_text: in how many texts each of the terms stands."""
+    """term, n_text: in how many of the texts each of the terms stands."""
     if _bytes(terms) <= rule.broadcast_bytes:
         shared = terms.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in terms.collect()))
 
