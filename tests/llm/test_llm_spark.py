@@ -164,6 +164,13 @@ def test_url_odd(spark):
     assert (found[6]["rule"], found[6]["verdict"], found[None]["path"], found[8]["host"]) == ("net/es/", "block", "", "Äb.com")
 
 
+def test_url_model_of_repeats(spark):
+    pages = spark.range(80).selectExpr("id AS page_id", "concat('http://', sha2(string(id), 256), if(id % 2 = 0, '.com/', '.net/es/')) AS url")
+    plain = urlfilter.fit_urls(pages, queries.RULES, per_class=50)
+    often = urlfilter.fit_urls(pages.crossJoin(spark.range(500).select("id")), queries.RULES, per_class=50)
+    assert plain.rejected.total and (often.accepted.seen, often.rejected.seen, often.threshold) == (plain.accepted.seen, plain.rejected.seen, plain.threshold)
+
+
 def test_licenses(spark, odd):
     mit = licenses.KNOWN["MIT"]
     texts = [mit, "Copyright (c) 2020 Somebody\nAll rights reserved.\n\n" + mit.upper().replace(".", " ;"), mit + " and more", licenses.KNOWN["notice-MIT"].replace("License", "LICENCE"), "", None, "..."]

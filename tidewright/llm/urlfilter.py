@@ -130,11 +130,15 @@ def fit_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", per_clas
     rows = pages.select(F.col(url_col).alias("url")).where("url IS NOT NULL").select("url", match_rule(host, path, rules).alias("rule")).where("rule IS NOT NULL")
     rows = rows.select("url", F.element_at(allow, F.col("rule")).alias("ok"), F.xxhash64("url").alias("key"))
     space = 1 << 30
-    counts = {r["ok"]: r["n"] for r in rows.groupBy("ok").agg(F.count("*").alias("n")).collect()}
+    counts = {r["ok"]: r["n"] for r in rows.groupBy("ok").agg(F.count_distinct("url").alias("n")).collect()}
     labelled = []
     for ok, n in sorted(counts.items()):
-        drawn = rows.where((F.col("ok") == F.lit(ok)) & (F.pmod("key", F.lit(space)) < min(space, -(-space * 4 * per_class // n))))
-        labelled += [(r["url"], ok) for r in drawn.select("key", "url").distinct().orderBy("key", "url").limit(per_class).collect()]
+        for share in (min(space, -(-space * 4 * per_class // n)), space):
+            drawn = rows.where((F.col("ok") == F.lit(ok)) & (F.pmod("key", F.lit(space)) < share))
+            found = drawn.select("key", "url").distinct().orderBy("key", "url").limit(per_class).collect()
+            if len(found) >= min(n, per_class):
+                break
+        labelled += [(r["url"], ok) for r in found]
     return train(labelled, order)
 
 
