@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -185,6 +186,33 @@ def test_licenses(spark, odd):
     assert sorted(map(tuple, queries.op5_license_scan(spark, SF).collect())) == sorted(expected)
 
 
+def test_license_files(spark):
+    """Licences as their files have them: wrapped, with a title, a copyright line and comment marks."""
+    wrapped = lambda k, width=72: "\n\n".join(textwrap.fill(x, width) for x in licenses.KNOWN[k].split("\n\n"))
+    commented = lambda t, mark: "\n".join(f"{mark} {x}" for x in t.split("\n"))
+    notice = "Copyright 2020 The Authors\n\n"
+    isc = wrapped("ISC").replace("that the above copyright", "that the above\ncopyright")
+    apache, gpl = licenses.TEXTS["Apache-2.0"], licenses.TEXTS["GPL-3.0"]
+    cases = [
+        ("MIT License\n\nCopyright (c) 2020 Somebody\n\n" + wrapped("MIT"), "MIT"),
+        ("The MIT License (MIT)\n" + notice + wrapped("MIT", 60), "MIT"),
+        ("ISC License\n\n" + notice + isc, "ISC"),
+        ("/*\n" + commented("Copyright (c) 2020, Somebody\n\n" + isc, " *") + "\n */", "ISC"),
+        (commented("zlib License\n\n(C) 2020 Somebody\n" + wrapped("Zlib"), "#"), "Zlib"),
+        (apache, "Apache-2.0"),
+        (commented(apache, "//"), "Apache-2.0"),
+        (gpl, "GPL-3.0"),
+        ("BSD 3-Clause License\n\n" + notice + licenses.TEXTS["BSD-3-Clause"], "BSD-3-Clause"),
+        (licenses.TEXTS["BSD-2-Clause"].replace("1. ", "* ").replace("2. ", "* "), "BSD-2-Clause"),
+        (licenses.TEXTS["Unlicense"], "Unlicense"),
+        ("MIT License", None),
+        ("MIT License\n\n" + wrapped("MIT") + "\nand more", None),
+        (wrapped("ISC").replace("copyright notice and", "notice and"), None),
+    ]
+    found = by_id(licenses.scan_licenses(docs_of(spark, [t for t, _ in cases])))
+    assert [found[i]["license_id"] for i in range(len(cases))] == [k for _, k in cases]
+
+
 def pieces_hold(rows, encoded, tasks, size=2048):
     """Each id in one piece, sequences without gaps, at most one short sequence for each task."""
     cover, windows = defaultdict(list), defaultdict(list)
