@@ -139,6 +139,19 @@ def test_language_id(spark, odd):
     assert langid.fit_languages(odd.limit(0)).dictionaries == {}
 
 
+def test_many_languages(spark):
+    """Seventy languages of letters of their own: none is left out."""
+    letters = [chr(0x4E00 + i) for i in range(70 * 8)]
+    rng = random.Random(3)
+    say = lambda k: " ".join("".join(rng.choice(letters[8 * k : 8 * k + 8]) for _ in range(4)) for _ in range(60))
+    docs = spark.createDataFrame([(100 * k + i, say(k), f"l{k:02}", "s", 300) for k in range(70) for i in range(21)], DOCS)
+    model = langid.fit_languages(docs)
+    assert len(model.dictionaries) == 70
+    rare = docs.where("lang >= 'l60'")
+    assert all(r["lang_pred"] == r["lang"] for r in langid.identify_languages(rare, model).join(rare, "doc_id").collect())
+    assert quality.language_references(docs).count() == 70
+
+
 def test_url_query(spark):
     found = by_id(queries.op4_url_filter(spark, SF), "page_id")
     pages = by_id(queries.table(spark, SF, "pages"), "page_id")

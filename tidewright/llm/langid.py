@@ -33,15 +33,15 @@ def letters_only(text: str) -> bytes:
     return b" ".join(text.lower().encode().translate(SPACED).split())
 
 
-def fit_languages(docs: DataFrame, dictionary_bytes: int = 65536, docs_per_language: int = 256, excerpt_chars: int = 512, max_languages: int = 64, **settings) -> LanguageModel:
-    """A dictionary for each language from a sample of labelled documents, bounded by the parameters.
+def fit_languages(docs: DataFrame, dictionary_bytes: int = 65536, docs_per_language: int = 256, excerpt_chars: int = 512, **settings) -> LanguageModel:
+    """A dictionary for each language from a sample of labelled documents, which the parameters bound for each language.
 
     docs: doc_id, text, lang; rows without a text, a lang or a letter don't count. The sample takes the documents of
     least hash of doc_id in each language, the first excerpt_chars of each; the same rows give the same model however
-    they are partitioned. The max_languages most frequent languages are learned. No rows: a model without languages.
+    they are partitioned. All languages are learned, however rare. No rows: a model without languages.
     """
     rows = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("lang"), F.col("text").alias("text")).where("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return LanguageModel({}, **settings)
     space = 1 << 30

@@ -76,19 +76,18 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return found.select(*kept, F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_repeat_words"))
 
 
-def language_references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", top: int = TOP, longest: int = 6, min_docs: int = 20, max_languages: int = 64) -> DataFrame:
+def language_references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", top: int = TOP, longest: int = 6, min_docs: int = 20) -> DataFrame:
     """lang, classes (shares), words (the top most frequent of up to `longest` letters), shares (of these, and of all other
     words last), over all documents.
 
-    Languages with fewer than min_docs documents have none; the max_languages most frequent stay, so the result is
-    of bounded size. Ties in frequency go by the word.
+    Languages with fewer than min_docs documents have none; every other has one row. Ties in frequency go by the word.
     """
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     counted = rows.select("lang", "text", F.regexp_replace("text", COMMON, "").alias("marks"))
     counted = counted.select("lang", F.length("text").alias("chars"), _classes(F.col("text"), F.col("marks")).alias("classes"))
     width = len(CLASSES) + 1
     sums = [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(width)]
-    classes = counted.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("chars").alias("chars"), *sums).where(f"docs >= {min_docs} AND chars > 0").orderBy(F.desc("docs"), "lang").limit(max_languages)
+    classes = counted.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("chars").alias("chars"), *sums).where(f"docs >= {min_docs} AND chars > 0")
     known = [F.col(f"c{i}") / F.col("chars") for i in range(width)]
     classes = classes.select("lang", F.array(*known, F.greatest(F.lit(0.0), 1 - reduce(Column.__add__, known))).alias("classes"))
     words = rows.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
@@ -124,7 +123,7 @@ def quality_rules(docs: DataFrame, references: DataFrame | None = None, id_col:
     docs: id, text, lang. base_failed: under 20 words, or over 30 % of words in repeated windows. kept: not base_failed,
     and no distance over its limit. A distance is null, and judges nothing, for a text under min_chars characters or
     min_words words of letters, or a language (or null) without a reference. references: language_references(docs) by
-    default; of bounded size, broadcast. A null text is empty and fails. Whole texts are counted, however long; repeated
+    default; a row of about 1 KB for each language, broadcast. A null text is empty and fails. Whole texts are counted, however long; repeated
     rows agree; an empty table gives no rows. Columns other than these are neither read nor returned.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col("lang").alias("lang"), *([F.struct(*docs.columns).alias("row")] if whole_row else []))
