@@ -37,8 +37,10 @@ def fit_languages(docs: DataFrame, dictionary_bytes: int = 65536, docs_per_langu
     """A dictionary for each language from a sample of labelled documents, which the parameters bound for each language.
 
     docs: doc_id, text, lang; rows without a text, a lang or a letter don't count. The sample takes the documents of
-    least hash of doc_id in each language, the first excerpt_chars of each; the same rows give the same model however
-    they are partitioned. All languages are learned, however rare. No rows: a model without languages.
+    least hash of doc_id in each language, up to docs_per_language, and of each an excerpt of up to excerpt_chars that
+    begins at a place drawn by that hash from the whole text; of the excerpts, one after the other, the last
+    dictionary_bytes. The same rows give the same model however they are partitioned. All languages are learned, however
+    rare. No rows: a model without languages.
     """
     rows = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("lang"), F.col("text").alias("text")).where("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -47,7 +49,9 @@ def fit_languages(docs: DataFrame, dictionary_bytes: int = 65536, docs_per_langu
     space = 1 << 30
     limits = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(space, -(-space * 4 * docs_per_language // n))))])
     key = F.pmod(F.xxhash64("id"), F.lit(space))
-    drawn = rows.where(F.col("lang").isin(*counts) & (key < F.element_at(limits, F.col("lang")))).select("lang", F.struct(key.alias("key"), F.substring("text", 1, excerpt_chars).alias("text")).alias("drawn"))
+    drawn = rows.where(F.col("lang").isin(*counts) & (key < F.element_at(limits, F.col("lang"))))
+    begin = F.pmod(F.xxhash64(F.lit("begin"), "id"), F.greatest(F.lit(1), F.length("text") - excerpt_chars + 1).cast("long")).cast("int") + 1
+    drawn = drawn.select("lang", F.struct(key.alias("key"), F.substr("text", begin, F.lit(excerpt_chars)).alias("text")).alias("drawn"))
     taken = drawn.groupBy("lang").agg(F.slice(F.array_distinct(F.sort_array(F.collect_list("drawn"))), 1, docs_per_language).alias("drawn"))
     found = {}
     for r in taken.orderBy("lang").collect():
