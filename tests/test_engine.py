@@ -1,7 +1,9 @@
 """Combinators, archive, replay / backfill / live scripts, read layer and streams, on a small session."""
 
 import json
+import random
 import threading
+import time
 import urllib.error
 import urllib.request
 
@@ -11,16 +13,17 @@ from pyspark.sql import functions as F
 from tidewright.functions import cells, pricing
 from tidewright.operators import combinators as C
 from tidewright.operators import ordering as O
-from tidewright.operators.machines import ReconnectPolicy
+from tidewright.operators.fluent import SinkChain, Source
+from tidewright.operators.machines import BlockWriter, ConfirmationWindow, ReconnectPolicy
 from tidewright.operators.reliability import ManualClock
 from tidewright.plans import serving
 from tidewright.sources.archive import Archive, ReadOnlyArchive
-from tidewright.sources.collectors import IndexedSource, LogSource, RangeTooLarge, look_up_remote, read_table, subscribe_or_poll
+from tidewright.sources.collectors import IndexedSource, LogSource, RangeTooLarge, answers, look_up_remote, read_table, subscribe_or_poll
 from tidewright.sources.live import BlockDataSource
 from tidewright.sources.schema import EventSchema, SchemaError
 from tidewright.streaming import stateful
 from tidewright.streaming.persisted import Persisted, windows
-from tidewright.streaming.pipeline import OutcomeTable, Pipeline
+from tidewright.streaming.pipeline import OutcomeTable, Pipeline, decided
 
 SCHEMA = EventSchema("value_set", (("value", "TEXT"),))
 
@@ -136,6 +139,131 @@ def test_a_failed_write_halts_the_archive_not_the_events(spark, root):
     assert (stored(archive), archive.last_block("value_set")) == ([1], 5)
 
 
+# backfilled (block, value) in order of arrival, a value None for a payload that is no object -> stored, height, halted
+HALTS = {
+    "a step back in the first chunk": ([(5, 1), (4, 2), (15, 3)], [], None),
+    "a step back in the second": ([(5, 1), (12, 2), (15, 3), (14, 4), (25, 5)], [1, 2], 12),
+    "unreadable": ([(1, 1), (2, None), (3, 3), (25, 5)], [], None),
+    "unreadable in the second chunk": ([(5, 1), (12, 2), (13, 3), (15, None), (25, 5)], [1, 2], 12),
+}
+
+
+@pytest.mark.parametrize("name", HALTS)
+def test_a_halted_backfill_leaves_no_gap(spark, root, name):
+    script, kept, height = HALTS[name]
+    data = [(b, i, "7" if v is None else json.dumps({"value": hex(v)})) for i, (b, v) in enumerate(script)]
+    every = spark.createDataFrame(data, "block_number long, seq long, _payload string")
+    source = Script(spark, tip=25, live=[(26, 9), (27, 10), (28, 11)])
+    source.range = lambda low, high: C.block_range(every, low, high)
+    archive = seeded(spark, root, [])
+    feed = Persisted(source, archive, SCHEMA, chunk=10)
+    assert sum(batch.count() for batch in feed.subscribe()) == len(script) + 3
+    assert feed.halted and (stored(archive), archive.last_block("value_set")) == (kept, height)
+
+
+def test_an_unreadable_live_event_halts(spark, root):
+    source = Script(spark, tip=4)
+    source.live = lambda: iter([rows(spark, [(5, 1), (6, 2)], 0), spark.createDataFrame([(7, 5, "not json")], "block_number long, seq long, _payload string"), rows(spark, [(8, 3), (9, 4)], 10)])
+    archive = seeded(spark, root, [])
+    feed = Persisted(source, archive, SCHEMA)
+    assert sum(batch.count() for batch in feed.subscribe()) == 5
+    assert feed.halted and (stored(archive), archive.last_block("value_set")) == ([1], 5)
+    assert values(Persisted(Script(spark, tip=5), archive, SCHEMA).subscribe()) == [1]
+
+
+@pytest.mark.parametrize("span", [1, 3, 1000])
+def test_ranges_of_a_stream_agree_with_the_machines(spark, span):
+    rng, data, expected = random.Random(span), [], {"writer": set(), 1: set(), 2: set()}
+    for stream in range(60):
+        at, machines = 5, {"writer": BlockWriter(), 1: ConfirmationWindow(1), 2: ConfirmationWindow(2)}
+        for i in range(rng.randrange(1, 25)):
+            at = max(0, at + rng.choice([0, 0, 1, 1, 2] + [-1, -2] * (stream % 3 > 0)))
+            bad = rng.random() < 0.01
+            data.append((stream, i, at, bad))
+            for k, m in machines.items():
+                expected[k] |= {(stream, x) for (x,) in m.push(i, at, bad and k == "writer")}
+        expected["writer"] |= {(stream, x) for (x,) in machines["writer"].finish()}
+    df = spark.createDataFrame(data, "stream long, seq long, block_number long, bad boolean")
+    got = lambda d: {(r["stream"], r["seq"]) for r in d.collect()}
+    assert got(O.block_writer(df, bad=F.col("bad"), span=span)) == expected["writer"]
+    for depth in (1, 2):
+        assert got(O.confirmation_window(df, depth, span=span)) == expected[depth]
+
+
+def test_no_window_holds_a_whole_stream(spark):
+    df = O.one_stream(spark.range(10).selectExpr("id AS seq", "id AS block_number"))
+    plan = O.block_writer(df)._jdf.queryExecution().optimizedPlan().toString()
+    windows_ = [x for x in plan.split("\n") if "Window" in x and "block_number" in x]
+    assert windows_ and all("part" in x.split("[")[-2] + x.split("[")[-3] for x in windows_)
+
+
+@pytest.mark.parametrize("most", [1, 3])
+def test_reconnects_agree_with_the_policy(spark, most):
+    rng = random.Random(most)
+    data = [(k, i, rng.choice([10, 50_000, 29_999, 30_000]), rng.random() < 0.3) for k in range(40) for i in range(rng.randrange(1, 20))]
+    df = spark.createDataFrame(data, "stream long, seq long, uptime_ms long, delivered boolean")
+    assert sorted(map(repr, O.reconnects(df, max_failures=most).collect())) == sorted(map(repr, O.reconnects_fold(df, max_failures=most).collect()))
+
+
+def test_hung_calls_hold_up_nothing():
+    def fetch(n):
+        if n % 10 == 0:
+            time.sleep(60)
+        time.sleep(0.01)
+        return n
+
+    began = time.monotonic()
+    assert sorted(answers(range(60), fetch, 4, 0.5)) == [n for n in range(60) if n % 10]
+    assert time.monotonic() - began < 10
+    assert list(answers([], fetch)) == []
+
+
+def test_a_strategy_loses_only_the_events_it_fails_on(spark):
+    events = spark.range(40).repartition(3).persist()
+    act = lambda batch: batch.select(F.when(F.col("id").isin(7, 8, 30), F.raise_error(F.lit("odd")).cast("long")).otherwise(F.col("id")).alias("id")).where("id % 2 = 0")
+    got = [r["id"] for part in decided(act, events) for r in part.collect()]
+    assert sorted(got) == [n for n in range(0, 40, 2) if n not in (8, 30)]
+    assert [r["id"] for part in decided(lambda batch: batch, events) for r in part.collect()] and not list(decided(act, events.where("id = 7")))
+
+
+def test_manifests(spark, root, monkeypatch):
+    import tidewright.sources.archive as module
+
+    monkeypatch.setattr(module, "MANIFEST", 3)
+    archive = seeded(spark, root, [])
+    for i in range(7):
+        archive.write(SCHEMA, SCHEMA.encode(rows(spark, [(i, i)], i)), f"b{i}")
+    fresh, read = Archive(spark, root), []
+    real = fresh._read
+    fresh._read = lambda path: read.append(path) or real(path)
+    assert fresh.last_block("value_set") == 6 and len(fresh.commits("value_set")) == 7
+    assert len(read) == 2 and read[0].endswith(".manifest")  # one manifest, one record after it
+    assert fresh.exists("value_set") and not fresh.exists("nope") and not fresh.exists("_progress") and not fresh.exists("../x")
+
+
+def test_chains(spark):
+    clock, sent = ManualClock(), []
+
+    def sink(n):
+        sent.append(n)
+        if n < 0:
+            raise OSError
+
+    told = []
+    chain = SinkChain(sink, clock).deadline(lambda n: 5000 if n == 5 else None).retry(2, 1000).circuit_breaker(1).map(lambda n: n or None).report(told.append)
+    for n in (1, 0, -1, 2):
+        try:
+            chain(n)
+        except (OSError, RuntimeError):
+            pass
+    assert sent == [1, -1, -1, -1] and [o.ok for o in told] == [True, True, False, False] and clock.now() == 3000
+    chain.handles[0].reset()
+    chain(5), clock.sleep(2000), chain(5)
+    assert sent[4:] == [5]
+    a = Source.of(spark.range(3))
+    assert [r["id"] for r in a.map(id=F.col("id") + 1).chain(a).open().orderBy("segment", "id").collect()] == [1, 2, 3, 0, 1, 2]
+
+
 def test_schema(spark):
     assert EventSchema.infer("Transfer(address,uint256)", '{"from":"0x1","amount":"0x2"}').columns == (("amount", "TEXT"), ("from", "TEXT"))
     for bad in ((("block_number", "TEXT"),), (("_payload", "TEXT"),), (("a", "DATE"),)):
@@ -176,6 +304,10 @@ def test_read_layer(spark, root):
     assert blocks("?from_block=500") == []
     assert layer.get("/tables/value_set/rows?limit=-1") == (400, {"error": "invalid query parameter: limit"})
     assert layer.get("/tables/nope/rows?limit=-1") == (404, {"error": "unknown table: nope"})
+    first = layer.get("/tables/value_set/rows?after=0:0&limit=2")[1]
+    assert [r["block_number"] for r in first["rows"]] == [100, 101]
+    rest = layer.get(f"/tables/value_set/rows?limit=2&after={first['next']}")[1]
+    assert [r["block_number"] for r in rest["rows"]] == [102] and rest["next"] is None
     assert layer.get("/tables/value_set/rows?limit=1")[1]["rows"][0]["_payload"] == {"value": "0x1"}
     assert (serving.Limits().clamp(5000), serving.Limits().clamp(0), serving.Limits().clamp(None)) == (1000, 1, 100)
     server = layer.server()
@@ -266,8 +398,6 @@ def test_pipeline_with_feedback(spark, tmp_path):
     engine.add_source(lambda: spark.readStream.format("blocks").option("per_batch", "5").option("until", "9").load())
     engine.add_strategy(Even()).add_executor(sink, outcomes.publish).add_observer(lambda what, batch: seen.append((what, batch.count())))
     handle = engine.start()
-    import time
-
     for _ in range(120):
         if len(acted) >= 5:
             break

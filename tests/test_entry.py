@@ -26,7 +26,7 @@ def same(spark, name, query, sql):
 
 
 def test_queries_against_sql(spark):
-    from tidewright.plans import catalog
+    from tidewright.plans import catalog, running  # noqa: F401
 
     for name, sql in catalog.ORACLE_SQL.items():
         same(spark, name, catalog.QUERIES[name], sql)

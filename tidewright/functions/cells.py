@@ -66,7 +66,17 @@ def cell_json(name: str, kind: T.DataType) -> Column:
     return cell.cast("string")
 
 
-def rows_json(rows: DataFrame, hidden: tuple[str, ...] = ("seq",)) -> DataFrame:
-    """One column, json: each row as a JSON object in column order."""
+def field_names(payload: Column) -> Column:
+    """The fields of a JSON object, sorted; null if it is none."""
+    return F.array_sort(F.json_object_keys(payload))
+
+
+def readable(payload: Column) -> Column:
+    """Whether a payload is a JSON object; null is none."""
+    return F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json(payload)), F.lit("OBJECT")), F.lit(False))
+
+
+def rows_json(rows: DataFrame, hidden: tuple[str, ...] = ("seq",), keep: tuple[str, ...] = ()) -> DataFrame:
+    """One column, json: each row as a JSON object in column order; and the columns to keep as they are."""
     shown = [cell_json(f.name, f.dataType).alias(f.name) for f in rows.schema if f.name not in hidden]
-    return rows.select(F.to_json(F.struct(*shown), {"ignoreNullFields": "false"}).alias("json"))
+    return rows.select(*keep, F.to_json(F.struct(*shown), {"ignoreNullFields": "false"}).alias("json"))

@@ -6,7 +6,6 @@ event. Actions are purchases, or orders. Failures are simulated by arithmetic on
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, types as T
@@ -18,6 +17,7 @@ from tidewright.operators import ordering as O
 from tidewright.operators import reliability as R
 from tidewright.operators import submission as S
 from tidewright.plans import serving
+from tidewright.shared import scratch
 from tidewright.sources.archive import Archive, table_keywords
 from tidewright.sources.schema import EventSchema
 from tidewright.streaming import stateful
@@ -60,12 +60,6 @@ def _ok(seq: Column, attempt: Column | int = 0) -> Column:
     return (seq * 7919 + attempt * 31) % 10 >= 3
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A folder of our own where all executors write: under spark.checkpoint.dir, else under the warehouse."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{where.rstrip('/')}/tidewright-{uuid.uuid4().hex}"
-
-
 # map, filter, union
 
 
@@ -100,10 +94,20 @@ def chain_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.chain(rows.where("event_type = 'signup'"), rows.where("event_type = 'click'")).orderBy("segment", "seq")
 
 
-@query("SELECT CAST(block_number // 100 AS INTEGER) AS segment, seq FROM {ev} WHERE block_number < 300")
+#: Parts in which queries read or archive a whole table.
+PARTS = 4
+
+
+def _part_windows(spark: SparkSession, sf_dir: str) -> list[tuple[int, int]]:
+    """The table's blocks, from 0 to its tip, in PARTS ranges."""
+    top = ev(spark, sf_dir).agg(F.max("block_number")).first()[0] or 0
+    return list(windows(0, top, top // PARTS + 1))
+
+
+@query("SELECT CAST(block_number // ((SELECT max(block_number) FROM {ev}) // 4 + 1) AS INTEGER) AS segment, seq FROM {ev}")
 def chain_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ev(spark, sf_dir)
-    return C.chain(*[C.block_range(rows, 100 * i, 100 * i + 99).select("seq") for i in range(3)]).orderBy("segment", "seq")
+    return C.chain(*[C.block_range(rows, *w).select("seq") for w in _part_windows(spark, sf_dir)]).orderBy("segment", "seq")
 
 
 @query("SELECT seq, block_number FROM {ev} WHERE event_type = 'error'")
@@ -154,30 +158,38 @@ def feedback_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _archived(spark: SparkSession, sf_dir: str) -> tuple[Archive, EventSchema]:
+    """The whole table in an archive, a commit for each part."""
     schema = EventSchema("page_view", (("k", "INTEGER"), ("missing", "TEXT")))
-    archive = Archive(spark, _scratch(spark))
+    archive = Archive(spark, scratch(spark))
     rows = ev(spark, sf_dir).withColumn("_payload", F.col("props"))
-    for i, part in enumerate((C.block_range(rows, 0, 399), C.block_range(rows, 400, 699))):
-        archive.write(schema, schema.encode(part), str(i))
+    for i, window in enumerate(_part_windows(spark, sf_dir)):
+        archive.write(schema, schema.encode(C.block_range(rows, *window)), str(i))
     return archive, schema
 
 
-@query("SELECT block_number, seq, props AS _payload FROM {ev} WHERE block_number <= 500 ORDER BY 1, 2")
+@query("SELECT block_number, seq, props AS _payload FROM {ev} ORDER BY 1, 2")
 def replay_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive, schema = _archived(spark, sf_dir)
-    return archive.replay(schema, 500)
+    return archive.replay(schema, archive.last_block("page_view"))
 
 
-@query("SELECT 'page_view' AS table_name, max(block_number) AS last_block FROM {ev} WHERE block_number < 700")
+@query("SELECT 'page_view' AS table_name, max(block_number) AS last_block FROM {ev}")
 def last_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive, schema = _archived(spark, sf_dir)
     return spark.createDataFrame(archive.watermarks(), "table_name string, last_block long")
 
 
-@query("SELECT block_number, CAST(props->>'$.k' AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS missing, props AS _payload FROM {ev} WHERE block_number BETWEEN 350 AND 450 ORDER BY block_number, seq LIMIT 300 OFFSET 100")
+@query("SELECT block_number, CAST(props->>'$.k' AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS missing, props AS _payload FROM {ev} WHERE block_number >= 350 ORDER BY block_number, seq LIMIT 300 OFFSET 100")
 def archive_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive, schema = _archived(spark, sf_dir)
-    return serving.page(archive.read("page_view"), serving.bounds({"from_block": "350", "to_block": "450", "limit": "300", "offset": "100"})).drop("seq")
+    return serving.page(archive.read("page_view"), serving.bounds({"from_block": "350", "limit": "300", "offset": "100"})).drop("seq")
+
+
+@query("SELECT block_number, seq, props AS _payload FROM {ev} WHERE block_number > 60 OR block_number = 60 AND seq > 603 ORDER BY block_number, seq LIMIT 300")
+def page_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive, schema = _archived(spark, sf_dir)
+    rows = archive.read("page_view").select("block_number", "seq", "_payload")
+    return serving.page_after(rows, serving.bounds({"limit": "300"}), serving.cursor({"after": "60:603"}))
 
 
 @query("SELECT max(block_number) AS tip FROM {ev}")
@@ -455,7 +467,7 @@ def replacement_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _streamed(rows: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The operator over rows as a stream of files, run until all are read; the result as it was written."""
     spark = rows.sparkSession
-    where = _scratch(spark)
+    where = scratch(spark)
     rows.repartitionByRange(4, "seq").sortWithinPartitions("seq").write.parquet(f"{where}/in")
     before = spark.conf.get(stateful.ROCKSDB[0])
     spark.conf.set(*stateful.ROCKSDB)

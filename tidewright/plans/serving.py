@@ -80,6 +80,23 @@ def page(rows: DataFrame, at: Bounds) -> DataFrame:
     return rows.where(F.col(BLOCK).between(at.low, at.high)).orderBy(BLOCK, "seq").offset(at.offset).limit(at.limit)
 
 
+def cursor(params: dict[str, str]) -> tuple[int, int] | None:
+    """The parameter after, block:seq of the last row that was seen; None if it isn't given."""
+    text = params.get("after")
+    if text is None:
+        return None
+    block, colon, seq = text.partition(":")
+    found = {"after": block}, {"after": seq if colon else ""}
+    return tuple(min(unsigned(x, "after"), LONG_MAX) for x in found)
+
+
+def page_after(rows: DataFrame, at: Bounds, seen: tuple[int, int]) -> DataFrame:
+    """The page that follows a row: blocks before it are not read, and no offset is counted off, however far in it is."""
+    block, seq = seen
+    later = rows.where((F.col(BLOCK) >= block) & ((F.col(BLOCK) > block) | (F.col("seq") > seq)))
+    return page(later, Bounds(at.low, at.high, at.limit, 0))
+
+
 class ReadLayer:
     """archive: an Archive or ReadOnlyArchive."""
 
@@ -87,7 +104,7 @@ class ReadLayer:
         self.archive, self.limits = archive, limits or Limits()
 
     def _known(self, table: str) -> None:
-        if table not in self.archive.tables():
+        if not self.archive.exists(table):
             raise UnknownTable(table)
 
     def health(self) -> dict:
@@ -104,9 +121,13 @@ class ReadLayer:
 
     def rows(self, table: str, params: dict[str, str] | None = None) -> dict:
         self._known(table)
-        at = bounds(params or {}, self.limits)
-        found = rows_json(page(self.archive.read(table), at)).collect()
-        return {"rows": [json.loads(r["json"]) for r in found], "limit": at.limit, "offset": at.offset}
+        at, seen = bounds(params or {}, self.limits), cursor(params or {})
+        if seen is None:
+            found = rows_json(page(self.archive.read(table), at)).collect()
+            return {"rows": [json.loads(r["json"]) for r in found], "limit": at.limit, "offset": at.offset}
+        kept = rows_json(page_after(self.archive.read(table), at, seen), keep=(BLOCK, "seq")).collect()
+        end = f"{kept[-1][BLOCK]}:{kept[-1]['seq']}" if len(kept) == at.limit else None
+        return {"rows": [json.loads(r["json"]) for r in kept], "limit": at.limit, "next": end}
 
     def status(self) -> dict:
         return {"tables": [{"table": t, "last_block": b} for t, b in self.archive.watermarks()]}

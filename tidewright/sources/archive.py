@@ -2,14 +2,17 @@
 
 Layout under the root: data/<table>/batch=<id>/*.parquet and _progress/<table>/<id>.json, the commit record, which is
 written under another name and renamed. Readers list the records first and read only the batches they name, so rows and
-height appear together; a batch that was written again after a failure changes nothing. All file access goes through
-Hadoop's file systems, so the root may be any store that Spark reaches and that renames files atomically.
+height appear together; a batch that was written again after a failure changes nothing. A record never changes, so a
+reader opens each once; every MANIFEST records the writer puts all of them into one more file, <number>.manifest, from which
+a new reader begins. All file access goes through Hadoop's file systems, so the root may be any store that Spark reaches
+and that renames files atomically.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from abc import ABC, abstractmethod
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, types as T
@@ -19,9 +22,36 @@ from tidewright.functions.naming import keyword
 from tidewright.sources.schema import BLOCK, PAYLOAD, PROGRESS, EventSchema, SchemaError
 
 
-class Archive:
+#: Commit records between two manifests.
+MANIFEST = 32
+
+
+class Store(ABC):
+    """What a persisted source needs of an archive."""
+
+    spark: SparkSession
+
+    @abstractmethod
+    def write(self, schema: EventSchema, rows: DataFrame, batch: str) -> int | None:
+        """Appends rows and their height as one; returns the table's height."""
+
+    @abstractmethod
+    def last_block(self, table: str) -> int | None:
+        """The table's height, None if it has none."""
+
+    @abstractmethod
+    def schema(self, table: str) -> EventSchema:
+        """The table's schema; KeyError if there is no such table."""
+
+    @abstractmethod
+    def replay(self, schema: EventSchema, to: int) -> DataFrame:
+        """(block_number, seq, _payload) up to a block, in order; no rows if there is no such table."""
+
+
+class Archive(Store):
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._records: dict[str, dict[str, dict]] = {}  # table -> file name -> record, as they were read
         jvm = spark.sparkContext._jvm
         self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -51,7 +81,26 @@ class Archive:
             raise OSError(f"{path} can't be committed")
 
     def commits(self, table: str) -> list[dict]:
-        return [json.loads(self._read(f"{self.root}/{PROGRESS}/{table}/{n}")) for n in self._names(f"{self.root}/{PROGRESS}/{table}") if n.endswith(".json")]
+        where, known = f"{self.root}/{PROGRESS}/{table}", self._records.setdefault(table, {})
+        names = self._names(where)
+        records = [n for n in names if n.endswith(".json")]
+        manifests = [n for n in names if n.endswith(".manifest")]
+        if manifests and len([n for n in records if n not in known]) > 1:
+            known |= json.loads(self._read(f"{where}/{manifests[-1]}"))
+        for n in records:
+            if n not in known:
+                known[n] = json.loads(self._read(f"{where}/{n}"))
+        return [known[n] for n in records]
+
+    def _summarise(self, table: str) -> None:
+        """Writes a manifest if MANIFEST records have come since the last one."""
+        where = f"{self.root}/{PROGRESS}/{table}"
+        names = self._names(where)
+        count = sum(n.endswith(".json") for n in names)
+        last = max((int(n.split(".")[0]) for n in names if n.endswith(".manifest")), default=0)
+        if count - last >= MANIFEST:
+            self.commits(table)
+            self._commit(f"{where}/{count:012}.manifest", json.dumps(self._records[table]))
 
     # writing
 
@@ -67,6 +116,7 @@ class Archive:
             found = self.spark.read.schema(schema.stored).parquet(where).agg(F.max(BLOCK), F.count("*")).first()
             if found[1]:
                 self._commit(record, json.dumps({"table": schema.table, "batch": batch, "last_block": found[0], "rows": found[1], "columns": schema.columns}))
+                self._summarise(schema.table)
             else:
                 self._fs.delete(self._path(where), True)
         return self.last_block(schema.table)
@@ -93,8 +143,12 @@ class Archive:
             return self.spark.createDataFrame([], schema.stored).select(BLOCK, "seq", PAYLOAD)
         return self.read(schema.table).where(F.col(BLOCK) <= to).select(BLOCK, "seq", PAYLOAD).orderBy(BLOCK, "seq")
 
+    def exists(self, table: str) -> bool:
+        plain = table and "/" not in table and not table.startswith(("_", "."))
+        return bool(plain) and any(n.endswith(".json") for n in self._names(f"{self.root}/{PROGRESS}/{table}"))
+
     def tables(self) -> list[str]:
-        return [t for t in self._names(f"{self.root}/{PROGRESS}") if self.commits(t)]
+        return [t for t in self._names(f"{self.root}/{PROGRESS}") if self.exists(t)]
 
     def columns(self, table: str) -> list[tuple[str, str]]:
         """(name, type keyword) in declared order, arrival order left out; text kinds are TEXT."""
@@ -117,7 +171,7 @@ class ReadOnlyArchive:
         self._archive = Archive(spark, root)
         if not self._archive._fs.exists(self._archive._path(root)):
             raise FileNotFoundError(root)
-        for name in ("last_block", "schema", "read", "tables", "columns", "watermarks", "healthy"):
+        for name in ("last_block", "schema", "read", "exists", "tables", "columns", "watermarks", "healthy"):
             setattr(self, name, getattr(self._archive, name))
 
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import queue
+import threading
+import time
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterable, Iterator
-from concurrent.futures import ThreadPoolExecutor, wait
+from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 
 from tidewright.operators.combinators import block_range, indexed
+from tidewright.shipping import ship
 
 
 class RangeTooLarge(RuntimeError):
@@ -89,23 +93,100 @@ def read_table(spark: SparkSession, where: str) -> DataFrame:
     raise ValueError(f"no source for {where!r}")
 
 
+def answers(values: Iterable, fetch: Callable[[Any], Any], concurrent: int = 16, timeout_s: float = 10.0) -> Iterator:
+    """fetch(value) of every value, in the order in which they come in, up to `concurrent` calls at a time: a new one begins
+    as soon as one ends. A None, an error and a call that takes too long give nothing; such a call is left to itself, in a
+    daemon thread, and holds up no other."""
+    done: queue.SimpleQueue = queue.SimpleQueue()
+
+    def call(n: int, value: Any) -> None:
+        try:
+            done.put((n, fetch(value)))
+        except Exception:
+            done.put((n, None))
+
+    running: dict[int, float] = {}
+    waiting, left = enumerate(values), True
+    while left or running:
+        while left and len(running) < concurrent:
+            try:
+                n, value = next(waiting)
+            except StopIteration:
+                left = False
+                break
+            running[n] = time.monotonic() + timeout_s
+            threading.Thread(target=call, args=(n, value), daemon=True).start()
+        if not running:
+            break
+        try:
+            n, found = done.get(timeout=max(0.0, min(running.values()) - time.monotonic()))
+        except queue.Empty:
+            now = time.monotonic()
+            for n in [n for n, until in running.items() if until <= now]:
+                del running[n]
+            continue
+        if running.pop(n, None) is not None and found is not None:
+            yield found
+
+
 def look_up_remote(keys: DataFrame, column: str, fetch: Callable, schema: str, concurrent: int = 16, timeout_s: float = 10.0) -> DataFrame:
-    """What fetch(key) gives for each key, as rows of the schema, in no order: up to `concurrent` calls of a task at a
-    time. A key without a result (None), with an error, or not answered in time is dropped. fetch runs on executors."""
+    """What fetch(key) gives for each key, as rows of the schema, in no order; see answers(). fetch runs on executors."""
     names = [f.name for f in T.StructType.fromDDL(schema)]
+    ship(keys.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with ThreadPoolExecutor(concurrent) as pool:
-            for batch in batches:
-                values = batch[column].tolist()
-                for at in range(0, len(values), concurrent):
-                    calls = [pool.submit(fetch, v) for v in values[at : at + concurrent]]
-                    done, late = wait(calls, timeout_s)
-                    for c in late:
-                        c.cancel()
-                    rows = [c.result() for c in done if c.exception() is None]
-                    found = [r for r in rows if r is not None]
-                    if found:
-                        yield pd.DataFrame(found, columns=names)
+        rows = []
+        for row in answers((v for batch in batches for v in batch[column].tolist()), fetch, concurrent, timeout_s):
+            rows.append(row)
+            if len(rows) >= 1000:
+                yield pd.DataFrame(rows, columns=names)
+                rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     return keys.select(column).mapInPandas(run, schema)
+
+
+def polled_hashes(polls: DataFrame, column: str = "hashes", name: str = "hash") -> DataFrame:
+    """Every hash of every poll, whose arrays may be null or empty, with the poll's other columns."""
+    others = [c for c in polls.columns if c != column]
+    return polls.select(*others, F.explode(column).alias(name)).where(F.col(name).isNotNull())
+
+
+def polled_headers(polls: DataFrame, headers: DataFrame | Callable, schema: str | None = None, column: str = "hashes", **settings) -> DataFrame:
+    """The header of every polled hash; those that are not found, or whose call fails, are skipped. headers: a table with a
+    column `hash`, or a function of a hash, with the schema of what it gives."""
+    hashes = polled_hashes(polls, column)
+    if isinstance(headers, DataFrame):
+        return hashes.join(headers, "hash")
+    return look_up_remote(hashes, "hash", headers, schema, **settings)
+
+
+def typed_events(logs: DataFrame, fields: T.StructType, payload: str = "_payload") -> DataFrame:
+    """Logs (block_number, seq, removed, payload, ...) as events (block_number, seq, fields): logs that can't be decoded,
+    as a field is missing or of another type, are dropped, and so are those retracted or in no block."""
+    parsed = F.try_parse_json(payload)
+    found: list[Column] = [F.try_variant_get("parsed", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in fields]
+    rows = indexed(logs).select("block_number", "seq", parsed.alias("parsed")).select("block_number", "seq", *found)
+    return rows.dropna(subset=[f.name for f in fields])
+
+
+class Channel:
+    """A folder through which one query's rows become another's source: send() appends, and each subscribe() is a stream of
+    what is sent after it. Nothing is lost if a reader is slow."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
+        self.spark, self.path = spark, path
+        self.schema = T.StructType([*schema.fields, T.StructField("_sent", T.LongType())])
+        self._sent, self._lock = 0, threading.Lock()
+        spark.createDataFrame([], self.schema).coalesce(1).write.mode("append").parquet(path)
+
+    def send(self, rows: DataFrame) -> None:
+        with self._lock:
+            self._sent += 1
+            rows.withColumn("_sent", F.lit(self._sent).cast("long")).select(*self.schema.names).write.mode("append").parquet(self.path)
+
+    def subscribe(self) -> DataFrame:
+        with self._lock:
+            now = self._sent
+        return self.spark.readStream.schema(self.schema).parquet(self.path).where(F.col("_sent") > now).drop("_sent")

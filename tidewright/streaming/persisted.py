@@ -1,8 +1,9 @@
 """A source with an archive behind it: replay what is stored, backfill the gap, follow the live feed.
 
-The archive's height is the largest block up to which nothing is missing. Backfilled blocks are written at once, live
-ones when they are confirmed; a failed write, an unreadable event or a deep reorganisation stops the writing for good,
-never the events.
+The archive's height is the largest block up to which nothing is missing. Backfilled blocks are written when they are
+complete, live ones when they are confirmed. A failed write, an event that is no JSON object, a block lower than the one
+before in the backfill or a deep reorganisation live stops the writing for good, in this and every later chunk and batch;
+it never stops the events.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, types as T
 from pyspark.sql import functions as F
 
+from tidewright.functions.cells import readable
 from tidewright.operators.combinators import live_cut
 from tidewright.operators.machines import ConfirmationWindow
-from tidewright.operators.ordering import block_writer, fold_sorted, one_stream
-from tidewright.sources.archive import Archive
+from tidewright.operators.ordering import block_halts, fold_sorted, one_stream
+from tidewright.sources.archive import Store
 from tidewright.sources.collectors import IndexedSource, is_too_large
 from tidewright.sources.schema import BLOCK, PAYLOAD, EventSchema, SchemaError
 
@@ -53,45 +55,81 @@ class WindowFold(ConfirmationWindow):
 
 class Persisted:
     """Options: schema (declared; else inferred from the first event of `signature`), start_block, to_block (then there is
-    no live part), chunk, depth of confirmation."""
+    no live part), chunk, depth of confirmation; or the methods with_*, which return the source."""
 
-    def __init__(self, source: IndexedSource, archive: Archive, schema: EventSchema | None = None, signature: str | None = None, start_block: int = 0, to_block: int | None = None, chunk: int = CHUNK, depth: int = 1):
+    def __init__(self, source: IndexedSource, archive: Store, schema: EventSchema | None = None, signature: str | None = None, start_block: int = 0, to_block: int | None = None, chunk: int = CHUNK, depth: int = 1):
         if schema is None and signature is None:
             raise SchemaError("declare a schema or name the event's signature")
-        if depth < 1 or chunk < 1:
-            raise ValueError("a confirmation depth and a chunk are at least one block")
         self.source, self.archive, self.schema, self.signature = source, archive, schema, signature
-        self.start_block, self.to_block, self.chunk, self.depth = start_block, to_block, chunk, depth
         self.replayed = False
         self.halted = False
         self.queried: list[tuple[int, int]] = []
+        self.with_start_block(start_block).with_to_block(to_block).with_chunk(chunk).with_depth(depth)
 
-    def _schema(self, rows: DataFrame) -> EventSchema | None:
-        if self.schema is None and (first := rows.orderBy(BLOCK, "seq").select(PAYLOAD).first()):
-            self.schema = EventSchema.infer(self.signature, first[0])
-        return self.schema
+    def with_schema(self, schema: EventSchema) -> Persisted:
+        self.schema = schema
+        return self
+
+    def with_start_block(self, block: int) -> Persisted:
+        self.start_block = block
+        return self
+
+    def with_to_block(self, block: int | None) -> Persisted:
+        self.to_block = block
+        return self
+
+    def with_chunk(self, blocks: int) -> Persisted:
+        if blocks < 1:
+            raise ValueError("a chunk is at least one block")
+        self.chunk = blocks
+        return self
+
+    def with_depth(self, blocks: int) -> Persisted:
+        if blocks < 1:
+            raise ValueError("a confirmation depth is at least one block")
+        self.depth = blocks
+        return self
+
+    def _table(self) -> str:
+        return self.schema.table if self.schema else EventSchema.infer(self.signature, "{}").table
 
     def _write(self, rows: DataFrame) -> None:
-        schema = self._schema(rows)
-        if self.halted or schema is None:
+        """Readable rows, as one commit; a schema is inferred from the first of them."""
+        if self.halted:
             return
         try:
-            self.archive.write(schema, schema.encode(rows), uuid.uuid4().hex)
+            if self.schema is None:
+                first = rows.orderBy(BLOCK, "seq").select(PAYLOAD).first()
+                if first is None:
+                    return
+                self.schema = EventSchema.infer(self.signature, first[0])
+            self.archive.write(self.schema, self.schema.encode(rows), uuid.uuid4().hex)
         except Exception:
             self.halted = True
 
+    def _backfill(self, rows: DataFrame) -> None:
+        """A range, which ends with a whole block, through the block-complete writer."""
+        if self.halted:
+            return
+        found = block_halts(one_stream(rows), bad=~readable(F.col(PAYLOAD))).first()
+        if found is None:
+            return
+        if found["halt"] is not None:
+            rows = rows.where((F.col("seq") < found["halt"]) & (F.col(BLOCK) < F.lit(found["top"])))
+        self._write(rows)
+        self.halted |= found["halt"] is not None
+
     def subscribe(self) -> Iterator[DataFrame]:
         """Batches (block_number, seq, _payload), in order: stored, backfilled, live. The live feed is opened before the
         tip is asked for, and the first range is read before this returns, so a source that fails, fails here."""
         live = None if self.to_block is not None else self.source.live()
         tip = self.source.tip() if self.to_block is None else min(self.to_block, self.source.tip())
-        table = self.schema.table if self.schema else EventSchema.infer(self.signature, "{}").table
+        table = self._table()
         last = self.archive.last_block(table)
         stored = None
         if not self.replayed and last is not None:
             stored = self.archive.replay(self.archive.schema(table), last)
-            unreadable = stored.where(F.try_parse_json(PAYLOAD).isNull()).limit(1).count()
-            if unreadable:
+            if not stored.where(~readable(F.col(PAYLOAD))).isEmpty():
                 raise SchemaError(f"{table} holds a payload that can't be read")
         low = max(self.start_block, 0 if last is None else last + 1)
         ranges = windows(low, tip, self.chunk)
@@ -109,8 +147,12 @@ class Persisted:
             yield stored
         while True:
             for rows in opened:
-                self._write(block_writer(one_stream(rows)).drop("stream"))
-                yield rows
+                rows = rows.persist()  # a range is read once, whatever it takes to read it
+                try:
+                    self._backfill(rows)
+                    yield rows
+                finally:
+                    rows.unpersist()
             window = next(ranges, None)
             if window is None:
                 break
@@ -131,7 +173,8 @@ class Persisted:
         pushed again before the next batch, which leads to the same state, as nothing in it was ripe or dropped."""
         depth = self.depth
         every = one_stream(rows if pending is None else pending.unionByName(rows))
-        fates = fold_sorted(every, "stream", "seq", [BLOCK], lambda: WindowFold(depth, flushed), T.StructType([T.StructField("seq", T.LongType()), T.StructField("fate", T.StringType())]))
+        judged = every.withColumn("bad", ~readable(F.col(PAYLOAD)))
+        fates = fold_sorted(judged, "stream", "seq", [BLOCK, "bad"], lambda: WindowFold(depth, flushed), T.StructType([T.StructField("seq", T.LongType()), T.StructField("fate", T.StringType())]))
         fates = fates.select(F.col("seq").alias("fate_seq"), "fate").persist()
         known = every.drop("stream").join(fates, F.col("seq") == F.col("fate_seq")).drop("fate_seq")
         ripe = known.where("fate = 'stored'").drop("fate")
@@ -141,10 +184,15 @@ class Persisted:
             flushed = top
         if fates.where("fate = 'halted'").count():
             self.halted = True
-        waiting = known.where("fate = 'pending'").drop("fate").collect()  # blocks above the head less depth
+        waiting = known.where("fate = 'pending'").drop("fate").collect()  # `depth` blocks at most
         fates.unpersist()
         return rows, spark.createDataFrame(waiting, rows.schema), flushed
 
     def run(self, deliver: Callable[[DataFrame], None]) -> None:
         for batch in self.subscribe():
             deliver(batch)
+
+
+def persisted(source: IndexedSource, archive: Store, signature: str) -> Persisted:
+    """The source with an archive behind it; see Persisted.with_* for its options."""
+    return Persisted(source, archive, signature=signature)

@@ -1,15 +1,17 @@
 """The engine: sources, strategies, executors and observers as streaming queries, supervised.
 
-Every strategy sees every event, every executor every action. A strategy is a function from a streaming DataFrame to a
-streaming DataFrame of actions, with sync_state() run before the first event if it has one. An executor is a function
-of an action row; an action that fails is recorded, never raised. A source that fails is started again as the
-reconnect policy says; a fatal one stops the engine.
+Every strategy sees every event, every executor every action. A strategy is a function from a DataFrame of events to one
+of actions, with sync_state() run before the first event if it has one. An event on which it fails is logged and left
+out, the others of its batch stay. An executor is a function of an action row; an action that fails is recorded, never
+raised. A source that fails is started again as the reconnect policy says; a fatal one stops the engine. Batches of
+several sources are worked on one after the other, so that strategies and wrappers need no locks.
 """
 
 from __future__ import annotations
 
+import logging
 import threading
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -20,6 +22,8 @@ from pyspark.sql.streaming import StreamingQuery
 from tidewright.operators.machines import ReconnectPolicy
 from tidewright.operators.reliability import Clock, Outcome, Sink
 
+LOG = logging.getLogger(__name__)
+
 
 def execute_batch(actions: DataFrame, sink: Sink, publish: Callable[[Outcome], None] | None = None) -> None:
     """Every action through the sink, on the driver as wrappers are order-dependent; a failure doesn't stop the rest."""
@@ -33,22 +37,58 @@ def execute_batch(actions: DataFrame, sink: Sink, publish: Callable[[Outcome], N
             publish(outcome)
 
 
+def decided(act: Callable[[DataFrame], DataFrame], events: DataFrame) -> Iterator[DataFrame]:
+    """The actions for a batch of events. A strategy that fails on it is asked again for either half, so that in the end
+    only the single events on which it fails are left out, with a message in the log."""
+    columns = events.columns
+    numbered = events.withColumn("_at", F.monotonically_increasing_id())
+    parts = [numbered]
+    while parts:
+        part = parts.pop(0)
+        actions = None
+        try:
+            actions = act(part.drop("_at")).persist()
+            actions.count()
+        except Exception as e:
+            if actions is not None:
+                actions.unpersist()
+            n = part.count()
+            if n <= 1:
+                for event in part.select(*columns).collect():
+                    LOG.error("a strategy failed on %s: %s", event, str(e).split("\n")[0])
+                continue
+            middle = part.approxQuantile("_at", [0.5], 0.0)[0]
+            parts[:0] = [part.where(F.col("_at") <= middle), part.where(F.col("_at") > middle)]
+            if parts[1].isEmpty():  # the median is the last
+                parts[:2] = [part.where(F.col("_at") < middle), part.where(F.col("_at") == middle)]
+            continue
+        try:
+            yield actions
+        finally:
+            actions.unpersist()
+
+
 class OutcomeTable:
-    """Outcomes as a folder of Parquet that other queries stream from: the feedback loop's way back."""
+    """Outcomes as a folder of Parquet that other queries stream from: the feedback loop's way back. They are written by
+    flush(), or when `most` are held."""
 
-    def __init__(self, spark: SparkSession, path: str, action: T.StructType):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, action: T.StructType, most: int = 10_000):
+        self.spark, self.path, self.most = spark, path, most
         self.schema = T.StructType([T.StructField("action", action), T.StructField("ok", T.BooleanType()), T.StructField("error", T.StringType())])
         self._held: list[Outcome] = []
+        self._lock = threading.RLock()
 
     def publish(self, outcome: Outcome) -> None:
-        self._held.append(outcome)
+        with self._lock:
+            self._held.append(outcome)
+            if len(self._held) >= self.most:
+                self.flush()
 
     def flush(self) -> None:
-        if self._held:
-            rows = [(o.action, o.ok, o.error) for o in self._held]
-            self.spark.createDataFrame(rows, self.schema).coalesce(1).write.mode("append").parquet(self.path)
-            self._held.clear()
+        with self._lock:
+            rows, self._held = [(o.action, o.ok, o.error) for o in self._held], []
+            if rows:
+                self.spark.createDataFrame(rows, self.schema).coalesce(1).write.mode("append").parquet(self.path)
 
     def stream(self) -> DataFrame:
         return self.spark.readStream.schema(self.schema).parquet(self.path)
@@ -83,6 +123,7 @@ class Pipeline:
         self.strategies: list[Any] = []
         self.executors: list[tuple[Sink, Callable[[Outcome], None] | None]] = []
         self.observers: list[Callable[[str, DataFrame], None]] = []
+        self._lock = threading.Lock()
 
     def add_source(self, reader: Callable[[], DataFrame]) -> Pipeline:
         self.sources.append(reader)
@@ -116,16 +157,13 @@ class Pipeline:
     def _batch(self, events: DataFrame, _: int) -> None:
         events.persist()
         try:
-            self._observe("event", events)
-            for s in self.strategies:
-                act = s.process if hasattr(s, "process") else s
-                actions = act(events).persist()
-                try:
-                    self._observe("action", actions)
-                    for sink, publish in self.executors:
-                        execute_batch(actions, sink, publish)
-                finally:
-                    actions.unpersist()
+            with self._lock:
+                self._observe("event", events)
+                for s in self.strategies:
+                    for actions in decided(s.process if hasattr(s, "process") else s, events):
+                        self._observe("action", actions)
+                        for sink, publish in self.executors:
+                            execute_batch(actions, sink, publish)
         finally:
             events.unpersist()
 
