@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.llm.common import materialize
+
 #: White space between words, and the characters that count as symbols.
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[^#*$%&|<>]+"
@@ -54,17 +56,24 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         id_col,
         *others,
         F.size("words").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("text", SPACE, "")).cast("long").alias("word_chars"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("marks", SYMBOLS, "")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
     )
     kept = [c for c in found.columns if c != "hashes"]
+
+    def joined(hashes: Column, step: int) -> Column:
+        """The hashes of twice as many words, from those of `step` words."""
+        n = F.greatest(F.size(hashes) - step, F.lit(0))
+        return F.zip_with(F.slice(hashes, F.lit(1), n), F.slice(hashes, F.lit(step + 1), n), lambda x, y: F.xxhash64(x, y))
+
     step = 1
-    while step < WINDOW:  # a hash of 2, 4, 8 words from two of half as many
-        left = F.slice(F.col("hashes"), F.lit(1), F.greatest(F.size("hashes") - step, F.lit(0)))
-        right = F.slice(F.col("hashes"), F.lit(step + 1), F.greatest(F.size("hashes") - step, F.lit(0)))
-        found = found.select(*kept, F.zip_with(left, right, lambda x, y: F.xxhash64(x, y)).alias("hashes"))
+    while step < WINDOW:
+        made = joined(F.col("hashes"), step)
+        if 2 * step == WINDOW:  # texts in which no half of a window comes twice, most of them, have no window twice
+            made = F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), made).otherwise(F.array().cast("array<bigint>"))
+        found = found.select(*kept, made.alias("hashes"))
         step *= 2
     found = found.withColumnRenamed("hashes", "windows")
     repeats = F.size(F.array_distinct("windows")) < F.size("windows")
@@ -123,12 +132,13 @@ def quality_rules(docs: DataFrame, references: DataFrame | None = None, id_col:
     docs: id, text, lang. base_failed: under 20 words, or over 30 % of words in repeated windows. kept: not base_failed,
     and no distance over its limit. A distance is null, and judges nothing, for a text under min_chars characters or
     min_words words of letters, or a language (or null) without a reference. references: language_references(docs) by
-    default; a row of about 1 KB for each language, broadcast. A null text is empty and fails. Whole texts are counted, however long; repeated
+    default; a row of about 1 KB for each language, broadcast, its words in the plan as well. A null text is empty and fails. Whole texts are counted, however long; repeated
     rows agree; an empty table gives no rows. Columns other than these are neither read nor returned.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col("lang").alias("lang"), *([F.struct(*docs.columns).alias("row")] if whole_row else []))
     if references is None:
-        references = language_references(own, longest=longest)
+        references = materialize(language_references(own, longest=longest), "references")
+    common = sorted({w for r in references.select("words").collect() for w in r["words"]})
     found = measures(own, "id").join(F.broadcast(references), "lang", "left")
     base = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *(["row"] if whole_row else [])]
     long_enough = F.col("classes").isNotNull() & (F.length("text") >= min_chars)
@@ -139,7 +149,7 @@ def quality_rules(docs: DataFrame, references: DataFrame | None = None, id_col:
         "shares",
         F.transform(_with_rest(F.col("counts"), F.col("chars")), lambda x: x / F.col("chars")).alias("own_classes"),
         F.size("own").alias("n_own"),
-        F.array_remove(F.transform("own", lambda w: F.array_position("words", w)), 0).alias("hits"),
+        F.array_remove(F.transform("own", lambda w: F.when(w.isin(common), F.array_position("words", w)).otherwise(F.lit(0).cast("long"))), 0).alias("hits"),
     )
     counts = F.array(*[(F.size("hits") - F.size(F.array_remove("hits", b))) / F.col("n_own") for b in range(1, TOP + 1)])
     counts = F.concat(F.slice(counts, F.lit(1), F.size("shares") - 1), F.array((F.col("n_own") - F.size("hits")) / F.col("n_own")))
