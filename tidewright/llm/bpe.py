@@ -23,9 +23,9 @@ from tidewright.llm.common import arrow_map, ragged, slices, texts
 
 NONE = np.int32(2**31 - 1)
 #: Words a worker remembers; beyond it the memory starts anew, results stay the same.
-REMEMBERED = 350_000
+REMEMBERED = 300_000
 #: Cells of one matrix of words.
-CELLS = 1 << 21
+CELLS = 1 << 19
 #: Rows longer than this are merged one by one, many pairs a round.
 WIDE = 256
 
@@ -188,7 +188,7 @@ class ByteEncoder:
         split = [self.pieces(x) for x in docs]
         if len(self.memory) > REMEMBERED:
             self.memory.clear()
-        new = list({p for x in split for p in x}.difference(self.memory))
+        new = list(set().union(*split).difference(self.memory))
         data = [p.encode() for p in new]
         length = np.fromiter(map(len, data), dtype=np.int64, count=len(data))
         self.memory.update(zip(new, merge_words(self.first[np.frombuffer(b"".join(data), dtype=np.uint8)], length, self.pairs), strict=True))
@@ -226,7 +226,8 @@ def narrow(pattern: str) -> str:
 class WordEncoder:
     """A tokenizers file of kind BPE with an end of word, such as word_bpe_49k.json: its normaliser and splitter, its merges.
 
-    Texts are split as the library does; each distinct word is merged once. Strings of special tokens are ordinary text."""
+    Texts are split as the library does by default: first at the file's added tokens, whose strings have one id, then into
+    words. Each distinct word is merged once."""
 
     def __init__(self, path: str):
         import regex
@@ -247,9 +248,21 @@ class WordEncoder:
         self.split = regex.compile(split).findall
         self.odd = newer_letters()
         self.quick = re.compile(narrow(split)).findall
-        self.memory: dict[str, bytes] = {}
-
-    def words(self, text: str) -> list[str]:
+        added = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        if any(x[k] for x in spec["added_tokens"] for k in ("normalized", "single_word", "lstrip", "rstrip")):
+            raise ValueError(f"{path} has added tokens that are found otherwise than as they stand")
+        self.added = re.compile("|".join(re.escape(x) for x in sorted(added, key=len, reverse=True)) or r"(?!)")
+        self.fixed = {(x,): int(i).to_bytes(4, "little") for x, i in added.items()}  # no word is a tuple
+        self.memory: dict[str | tuple, bytes] = dict(self.fixed)
+
+    def words(self, text: str) -> list[str | tuple]:
+        found = self.added.findall(text)
+        if not found:
+            return self.plain_words(text)
+        first, *rest = (self.plain_words(x) for x in self.added.split(text))
+        return first + [w for token, more in zip(found, rest, strict=True) for w in ((token,), *more)]
+
+    def plain_words(self, text: str) -> list[str]:
         if text.isascii():
             return self.quick(text.lower())
         if _latin(text):  # already composed, and lower case stays in the range or needs the long way
@@ -264,8 +277,8 @@ class WordEncoder:
     def encode(self, docs: list[str]) -> list[bytes]:
         split = [self.words(x) for x in docs]
         if len(self.memory) > REMEMBERED:
-            self.memory.clear()
-        new = list({p for x in split for p in x}.difference(self.memory))
+            self.memory = dict(self.fixed)
+        new = list(set().union(*split).difference(self.memory))
         data = [p.encode() for p in new]
         length = np.fromiter(map(len, data), dtype=np.int64, count=len(data))
         flat, ends = np.frombuffer(b"".join(data), dtype=np.uint8), np.cumsum(length) - 1

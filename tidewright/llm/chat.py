@@ -1,9 +1,10 @@
 """Chat formatting: a finite-state machine over roles, a declarative template, segments with loss flags.
 
 DataFrame functions only. A template gives each role its header; every turn becomes three segments: header, escaped
-text, end mark. Texts can't forge a mark: every backslash is doubled and every control string gets a backslash after
-its first character, so a control string never stands in an escaped text, and taking out each backslash that stands
-before another character gives the text back.
+text, end mark. Texts can't forge a mark: every backslash is doubled, and a backslash parts the first two characters of
+a control string wherever they stand together, or stands before that character wherever it stands if both are the same. So no
+control string is left in an escaped text, not even where control strings overlap, and taking out each backslash that
+stands before another character gives the text back.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ class Template:
     head: str = "### "
     colon: str = ": "
     end: str = "</turn>\n"
-    #: Strings that a text can't hold unescaped; `end` and `head` must hold one each.
+    #: Strings of two characters or more that a text can't hold unescaped; `end` and `head` must hold one each.
     controls: tuple[str, ...] = ("###", "</turn>")
     follows: dict[str, dict[str, str]] = field(
         default_factory=lambda: {
@@ -39,11 +40,15 @@ class Template:
     )
     final: frozenset[str] = frozenset({"answered"})
 
+    @property
+    def escapes(self) -> list[tuple[str, str]]:
+        """What escape() replaces, one after the other."""
+        return [("\\", "\\\\"), *dict.fromkeys((c[0], "\\" + c[0]) if c[0] == c[1] else (c[:2], c[0] + "\\" + c[1]) for c in self.controls)]
+
 
 def escape(text: Column, template: Template) -> Column:
-    text = F.regexp_replace(text, r"\\", r"\\\\")
-    for control in template.controls:
-        text = F.replace(text, F.lit(control), F.lit(control[0] + "\\" + control[1:]))
+    for found, made in template.escapes:
+        text = F.replace(text, F.lit(found), F.lit(made))
     return text
 
 

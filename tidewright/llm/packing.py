@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from tidewright.llm.bpe import word_encoder
 from tidewright.llm.common import arrow_map, slices, texts
 
+#: Bytes of text that are encoded at once.
+SLICE = 2_000_000
 Piece = tuple  # (document id, start, ids, tokens of the document)
 
 
@@ -90,8 +92,8 @@ class Packer:
         self.counts[:] = 0
 
 
-def pack_texts(docs: DataFrame, encode: Callable[[], Callable[[list[str]], list[bytes]]], end_id: int | None = 1, size: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
+def pack_texts(docs: DataFrame, encode: Callable[[], Callable[[list[str]], list[bytes]]], end_id: int | None = 1, size: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """A row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked, ids.
 
     encode: makes, in the worker, the function from texts to ids (little-endian unsigned 32-bit). A document's ids are
     those and end_id; a null text is empty and has end_id alone. Each id lies in one piece; offsets in a sequence have
@@ -103,7 +105,7 @@ def pack_texts(docs: DataFrame, encode: Callable[[], Callable[[list[str]], list[
     """
     kind = docs.schema[id_col].dataType.simpleString()
     arrow_id = docs.select(id_col).schema
-    schema = f"{id_col} {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
+    schema = f"{id_col} {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer = encode(), Packer(size)
@@ -112,7 +114,7 @@ def pack_texts(docs: DataFrame, encode: Callable[[], Callable[[list[str]], list[
         made, rows, held = 0, [], 0
 
         def windows() -> Iterator[list[Piece]]:
-            for batch in slices(batches, text_col):
+            for batch in slices(batches, text_col, SLICE):
                 for doc, ids in zip(batch.column(id_col).to_pylist(), encoder(texts(batch, text_col)), strict=True):
                     yield from packer.add(doc, np.frombuffer(ids + ending, dtype="<u4"))
             yield from packer.close()
@@ -120,19 +122,12 @@ def pack_texts(docs: DataFrame, encode: Callable[[], Callable[[list[str]], list[
         def batch_of(rows: list) -> pa.RecordBatch:
             doc, start, ids, total, sequence, offset = zip(*rows, strict=True)
             length = np.array([len(x) for x in ids], dtype=np.int64)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(doc, to_arrow),
-                    pa.array(start, pa.int64()),
-                    pa.array(length),
-                    pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
-                    pa.array(total, pa.int64()),
-                    pa.array(sequence, pa.int64()),
-                    pa.array(offset, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))).astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int32))),
-                ],
-                names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"],
-            )
+            columns = {id_col: pa.array(doc, to_arrow), "start": pa.array(start, pa.int64()), "length": pa.array(length)}
+            columns |= {"ids_crc32": pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), "doc_tokens": pa.array(total, pa.int64())}
+            columns |= {"sequence_id": pa.array(sequence, pa.int64()), "offset": pa.array(offset, pa.int64())}
+            if with_ids:
+                columns["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))).astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int32)))
+            return pa.RecordBatch.from_pydict(columns)
 
         from pyspark.sql.pandas.types import to_arrow_type
 

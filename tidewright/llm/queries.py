@@ -52,11 +52,13 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack_words(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+    return packing.pack_words(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(table(spark, sf_dir, "documents"))
+    found = quality.quality_rules(table(spark, sf_dir, "documents"))
+    distances = {c: F.round(c, 6) for c in ("class_distance", "word_distance")}  # sums in another order differ in the last digits
+    return found.withColumns(distances)
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,14 +96,55 @@ _TEMPLATE = chat.Template()
 
 def _escaped_sql(text: str) -> str:
     """chat.escape() as a DuckDB expression."""
-    sql = f"replace({text}, '\\', '\\\\')"
-    for control in _TEMPLATE.controls:
-        sql = f"replace({sql}, '{control}', '{control[0]}\\{control[1:]}')"
+    sql = text
+    for found, made in _TEMPLATE.escapes:
+        sql = f"replace({sql}, '{found}', '{made}')"
     return sql
 
 
+
+
+def _part_sql(a: str, b: str) -> str:
+    """What two shares add to twice the Jensen-Shannon divergence."""
+    return f"(CASE WHEN {a} > 0 THEN {a} * log2({a} / (({a} + {b}) / 2)) ELSE 0 END + CASE WHEN {b} > 0 THEN {b} * log2({b} / (({a} + {b}) / 2)) ELSE 0 END)"
+
+
+def _quality_sql(min_docs: int = 20, longest: int = 6, min_chars: int = 200, min_words: int = 50, class_limit: float = 0.33, word_limit: float = 0.42) -> str:
+    word, width = "[^\\x20\\x09-\\x0D]", len(quality.CLASSES) + 1
+    solid = "text"
+    for blank in quality.BLANKS:
+        solid = f"replace({solid}, chr({ord(blank)}), '')"
+    counts = [f"length(text) - length({solid})"] + ["length(regexp_replace(text, '[^{}]+', '', 'g'))".format(c.replace("'", "''")) for c in quality.CLASSES]
+    names = [f"c{i}" for i in range(width)]
+    rest = f"greatest(0, 1 - {' - '.join('r.' + c for c in names)})"
+    classes = " + ".join([_part_sql(f"(d.{c} / chars)", f"r.{c}") for c in names] + [_part_sql(f"((chars - {' - '.join('d.' + c for c in names)}) / chars)", rest)])
+    return f"""
+WITH docs AS (SELECT doc_id, lang, text IS NOT NULL AS given, coalesce(text, '') AS text FROM documents),
+d AS (SELECT *, length(text) AS chars, regexp_extract_all(text, '{word}+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{word}')) AS lines,
+  length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, {", ".join(f"{x} AS {c}" for x, c in zip(counts, names, strict=True))} FROM docs),
+windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS n FROM (SELECT doc_id, i, array_to_string(words[i : i + 7], ' ') AS w FROM d, unnest(range(1, len(words) - 6)) t(i))),
+covered AS (SELECT doc_id, CAST(sum(least(8, coalesce(after - i, 8))) AS BIGINT) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM windows WHERE n > 1) GROUP BY 1),
+r AS (SELECT lang, {", ".join(f"sum({c}) / sum(chars) AS {c}" for c in names)} FROM d WHERE lang IS NOT NULL AND given GROUP BY 1 HAVING count(*) >= {min_docs} AND sum(chars) > 0),
+own AS (SELECT doc_id, lang, given, w, count(*) AS n FROM (SELECT doc_id, lang, given, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS w FROM d) WHERE w <> '' GROUP BY 1, 2, 3, 4),
+total AS (SELECT lang, sum(n) AS n FROM own WHERE lang IS NOT NULL AND given GROUP BY 1),
+seen AS (SELECT lang, w, sum(n) AS n FROM own WHERE lang IS NOT NULL AND given AND length(w) <= {longest} GROUP BY 1, 2),
+best AS (SELECT s.lang, w, s.n / t.n AS q FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) AS place FROM seen) s JOIN total t ON t.lang = s.lang WHERE place <= {quality.TOP}),
+mine AS (SELECT doc_id, CAST(sum(n) AS DOUBLE) AS n FROM own GROUP BY 1),
+pairs AS (SELECT d.doc_id, coalesce(o.n, 0) / m.n AS p, b.q FROM d JOIN mine m ON m.doc_id = d.doc_id JOIN best b ON b.lang = d.lang LEFT JOIN own o ON o.doc_id = d.doc_id AND o.w = b.w),
+far AS (SELECT doc_id, sum({_part_sql("p", "q")}) AS x, 1 - sum(p) AS p, greatest(0, 1 - sum(q)) AS q FROM pairs GROUP BY 1),
+measured AS (SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
+  CASE WHEN r.lang IS NOT NULL AND chars >= {min_chars} THEN sqrt(greatest(0, ({classes}) / 2)) END AS class_distance,
+  CASE WHEN r.lang IS NOT NULL AND chars >= {min_chars} AND m.n >= {min_words} THEN sqrt(greatest(0, (far.x + {_part_sql("greatest(0, far.p)", "far.q")}) / 2)) END AS word_distance
+  FROM d LEFT JOIN covered ON covered.doc_id = d.doc_id LEFT JOIN r ON r.lang = d.lang LEFT JOIN mine m ON m.doc_id = d.doc_id LEFT JOIN far ON far.doc_id = d.doc_id),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measured)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance,
+  NOT base_failed AND coalesce(class_distance, 0) <= {class_limit} AND coalesce(word_distance, 0) <= {word_limit} AS kept FROM judged"""
+
+
 _SHOWN = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _TEMPLATE.names.items())
 ORACLE_SQL = {
+    "op7_quality": _quality_sql(),
     "op10_chat_format": f"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
