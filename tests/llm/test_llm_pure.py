@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -60,9 +61,9 @@ def test_forgetting_changes_nothing(monkeypatch, library):
 
 def test_word_bpe_matches_the_library():
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     rng = random.Random(6)
-    texts = ODD + ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(128, 0x800), rng.randrange(0x800, 0xD800)])) for _ in range(200)) for _ in range(100)]
+    texts = ODD + ["hello <|endoftext|> world", "<|startoftext|>x<|endoftext|><|endoftext|>É", "a<|ENDOFTEXT|>b <|endoftext| >", "<<|endoftext|>>'s <|endoftext|>'s", "é\u0301<|endoftext|>\u0301"]
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(128, 0x800), rng.randrange(0x800, 0xD800)])) for _ in range(200)) for _ in range(100)]
     got = bpe.word_encoder(WORDS).encode(texts)
     for text, found, expected in zip(texts, got, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
         assert ids(found) == expected.ids, text[:40]
@@ -95,6 +96,35 @@ def test_base_spans():
     assert pii.sanitise("x a@b.cd y", pii.base_spans("x a@b.cd y"), {}) == "x [EMAIL] y"
 
 
+def plain_contexts(text, spans, near):
+    words = [(m.start(), m.end()) for m in re.finditer(r"\w+", text)]
+    free = [w for w in words if not any(a < w[1] and w[0] < b for _, a, b in spans)]
+    out = []
+    for _, a, b in spans:
+        before, after = [w for w in free if w[1] <= a], [w for w in free if w[0] >= b]
+        out.append([text[x:y].lower() for x, y in before[-near:] + after[:near]])
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a@b.cd", "1.2.3.4", "Word", "x", "é", ", ", " ", "  ", "+1 555 555 1234", "_", "a" * 300]), max_size=30), st.integers(1, 4))
+def test_contexts_and_term_spans(parts, near):
+    text = "".join(parts)
+    spans = pii.base_spans(text)
+    assert [words for _, words in pii.contexts(text, spans, near)] == plain_contexts(text, spans, near)
+    terms = {"word": "remove", "x": "generalise"}
+    plain = [("term", m.start(), m.end()) for m in re.finditer(r"\w+", text) if m[0].lower() in terms and not any(a < m.end() and m.start() < b for _, a, b in spans)]
+    assert pii.term_spans(text, terms, spans) == plain
+
+
+def test_contexts_are_linear():
+    text = " ".join(f"user{i}@mail.example some words" for i in range(20_000))
+    spans = pii.base_spans(text)
+    began = time.process_time()
+    assert len([*pii.contexts(text, spans, 8)]) == 20_000 and pii.term_spans(text, {"some": "remove"}, spans)
+    assert time.process_time() - began < 3
+
+
 def test_shingles():
     words = "a b c d e f g a b c d e".split()
     text = "  A b\nc\td e   f g a b c d e "
@@ -116,30 +146,48 @@ def test_shingles():
 
 def test_forest_recall():
     forest = jaccard.Forest()
-    d = forest.prefix
-    assert 1 - (1 - 0.8**d) ** forest.trees >= forest.recall > 1 - (1 - 0.8 ** (d + 1)) ** forest.trees
     rng = np.random.default_rng(0)
-    hits = 0
-    for _ in range(200):  # pairs of similarity 0.8
+    shared = np.zeros(2)
+    agree = []
+    for _ in range(300):  # pairs of similarity 0.8
         both = rng.integers(0, 2**63, 100).astype(np.uint64)
         a, b = np.unique(both[:90]), np.unique(both[10:])
-        keys = jaccard.minhash_keys([a, b], forest.trees, d)
-        hits += (keys[0] == keys[1]).any()
-    assert hits == 200
+        values = jaccard.minhash([a, b], forest.trees, forest.depth)
+        agree.append((values[0] == values[1]).mean())
+        assert (values[0, :, : jaccard.SKETCHED] == values[1, :, : jaccard.SKETCHED]).mean() >= forest.plausible
+        for i, depth in enumerate((forest.shortest, 8)):
+            keys = jaccard.prefix_keys(values, depth)
+            shared[i] += (keys[0] == keys[1]).any()
+    assert shared[0] == 300 and shared[1] >= 295
+    assert 0.79 < np.mean(agree) < 0.81
+
+
+def test_prefixes_are_shortened_until_the_recall():
+    forest = jaccard.Forest()
+
+    def prefix(**links):
+        seen = np.zeros(129)
+        for similarity, n in links.items():
+            s = float(similarity[1:]) / 100
+            seen[round(128 * (s + (1 - s) / 256))] += n * jaccard.PROBED * s**forest.depth
+        depth = forest.prefix(seen)
+        s, n = np.array([float(k[1:]) / 100 for k in links] + [0.8]), np.array([*links.values(), 3])
+        assert n @ forest.found(s, depth) >= 0.9999 * n.sum()
+        return depth
+
+    depths = [prefix(), prefix(s80=5000), prefix(s85=5000), prefix(s90=5000, s81=50), prefix(s97=5000), prefix(s99=500_000)]
+    assert depths == sorted(depths) and depths[0] == forest.shortest and depths[-1] == forest.depth and len({*depths}) >= 4
+    assert 1 - (1 - 0.8**forest.shortest) ** forest.trees >= forest.recall
 
 
 @pytest.mark.parametrize("n", [3, 40])
 def test_exact_similarity(n):
     rng = random.Random(n)
     sets = [sorted({rng.randrange(60) for _ in range(rng.randrange(1, 70))}) for _ in range(n)]
-    data = [np.array(x, dtype=np.uint64).tobytes() for x in sets]
-    every = np.arange(n)
+    data = [np.array(x, dtype=np.uint64) for x in sets]
     expected = [[len({*a} & {*b}) / len({*a} | {*b}) >= 0.5 for b in sets] for a in sets]
-    got = jaccard.same_sets(data, every, every, 0.5)
-    np.fill_diagonal(got, True)
-    assert got.tolist() == expected
-    left, right = every[: n // 2], every[n // 2 :]
-    assert jaccard.same_sets(data, left, right, 0.5).tolist() == [x[n // 2 :] for x in expected[: n // 2]]
+    assert jaccard.similar_sets(data, data, 0.5).tolist() == expected
+    assert jaccard.similar_sets(data[: n // 2], data[n // 2 :], 0.5).tolist() == [x[n // 2 :] for x in expected[: n // 2]]
 
 
 def test_packer_places_by_the_sum_of_squares():
@@ -204,19 +252,29 @@ def test_language_model():
     assert langid.judge("abc", {}, model)[0] == "und"
 
 
-def test_kmeans_cells_hold_all_close_pairs():
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(600, 16))
-    x[300:] = x[:300] + rng.normal(size=(300, 16)) * rng.uniform(0.02, 0.25, (300, 1))
+def linked_pairs(x):
+    near = x @ x.T >= 0.9
+    return {(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True) if i < j}
+
+
+@pytest.mark.parametrize("rank", [3, 16])
+def test_cells_of_two_levels_hold_each_close_pair_once(rank):
+    rng = np.random.default_rng(rank)
+    x = rng.normal(size=(700, rank)) @ rng.normal(size=(rank, 24))
+    x[350:] = x[:350] + rng.normal(size=(350, 24)) * rng.uniform(0.02, 0.4, (350, 1))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    centres = embeddings.spherical_kmeans(x, 12)
-    row, cell, home = embeddings.cells_of(x, centres, math.sqrt(0.2) + 1e-9)
-    members = {}
-    for r, c, h in zip(row, cell, home, strict=True):
-        members.setdefault(c, []).append((r, h))
-    pairs = [(min(a, b), max(a, b)) for c in members.values() for i, (a, g) in enumerate(c) for b, h in c[:i] if (g or h) and x[a] @ x[b] >= 0.9]
-    assert len(pairs) == len({*pairs})
-    assert {*pairs} == {(i, j) for i in range(600) for j in range(i + 1, 600) if x[i] @ x[j] >= 0.9}
+    parents = embeddings.spherical_kmeans(x, 6)
+    own = (x @ parents.T).argmax(axis=1)
+    leaves = {p: embeddings.spherical_kmeans(x[own == p], 5 + p) for p in (0, 2, 3, 5) if (own == p).any()}
+    for cells in (embeddings.Cells(parents, {}), embeddings.Cells(parents, leaves)):
+        row, cell, home = cells.deal(x, math.sqrt(1 - 0.9**2))
+        assert sorted(row[home.astype(bool)].tolist()) == [*range(700)]
+        members = {}
+        for r, c, h in zip(row.tolist(), cell.tolist(), home.tolist(), strict=True):
+            members.setdefault(c, []).append((r, h))
+        pairs = [(min(a, b), max(a, b)) for c in members.values() for i, (a, g) in enumerate(c) for b, h in c[:i] if (g or h) and x[a] @ x[b] >= 0.9]
+        assert len(pairs) == len({*pairs})
+        assert {*pairs} == linked_pairs(x)
 
 
 def test_hashes():

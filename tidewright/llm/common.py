@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -11,41 +10,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.shared import file_system, shared_dir
 from tidewright.shipping import ship
 
 #: Texts a Python worker turns into Python objects at once, in code points.
 SLICE_CHARS = 4_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        got = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = got.get() if got.isDefined() else None
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="tidewright-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
+#: Rows that a task writes at least, of tables whose size is known beforehand.
+TASK_ROWS = 50_000
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends here, and a lost executor costs nothing before it."""
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df written to the shared folder and read again: lineage ends here, and a lost executor costs nothing before it.
+    The table goes with release(), else when the application ends. rows: a bound on its rows, if there is one at hand: a
+    small table is then written by few tasks, whatever the number of shuffle partitions."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // TASK_ROWS)))
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    where, files = file_system(spark, path)
+    files.deleteOnExit(where)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidewright_path = path
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Deletes what materialize() wrote for df; df can't be read after that."""
-    if path := getattr(df, "_tidewright_path", None):
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def release(*tables: DataFrame) -> None:
+    """Deletes what materialize() wrote for them; they can't be read after that."""
+    for df in tables:
+        if path := getattr(df, "_tidewright_path", None):
+            where, files = file_system(df.sparkSession, path)
+            files.delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,9 +69,14 @@ def texts(batch: pa.RecordBatch, column: str) -> list[str]:
 
 
 def arrow_map(df: DataFrame, columns: list, schema: str, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """mapInArrow over the given columns alone, so that others neither travel nor clash."""
+    """in_batches() over the given columns alone, so that others neither travel nor clash."""
+    return in_batches(df.select(*columns), each, schema)
+
+
+def in_batches(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow with the package at hand."""
     ship(df.sparkSession)
-    return df.select(*columns).mapInArrow(each, schema)
+    return df.mapInArrow(each, schema)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -96,16 +98,16 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class IdFilter:
-    """A Bloom filter of 64-bit ids, of fixed size however many there are: sent to all workers, it keeps most rows of
-    other ids out of a shuffle; the join that follows is exact."""
+    """A Bloom filter of 64-bit ids, of 16 bits for each id but 32 MB at most: sent to all workers, it keeps most rows
+    of other ids out of a shuffle; the join that follows is exact. Beyond some 20 million ids it keeps out fewer."""
 
     HASHES = 4
+    LARGEST = 1 << 28
 
-    def __init__(self, ids: DataFrame, bits: int = 1 << 26):
-        """ids: one long column."""
+    def __init__(self, ids: DataFrame):
+        """ids: one long column of a table that is cheap to read twice."""
         (column,) = ids.columns
-        self.bits = bits
-        ship(ids.sparkSession)
+        self.bits = bits = min(self.LARGEST, 1 << max(20, (16 * ids.count()).bit_length()))
 
         def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = np.zeros(bits // 64, dtype=np.uint64)
@@ -115,7 +117,7 @@ class IdFilter:
             some = np.flatnonzero(words)
             yield pa.RecordBatch.from_pydict({"word": pa.array(some.astype(np.int64)), "mask": pa.array(words[some].view(np.int64))})
 
-        found = ids.mapInArrow(mark, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+        found = in_batches(ids, mark, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
         words = np.zeros(bits // 64, dtype=np.uint64)
         words[found.column("word").to_numpy()] = found.column("mask").to_numpy().view(np.uint64)
         self._shared = ids.sparkSession.sparkContext.broadcast(words)
@@ -126,16 +128,20 @@ class IdFilter:
             x = mix64(x + np.uint64(0x9E3779B97F4A7C15 + k))
             yield (x & np.uint64(self.bits - 1)).astype(np.int64)
 
+    def has(self, ids: np.ndarray) -> np.ndarray:
+        """Which of the numbers may be among the ids."""
+        words, ok = self._shared.value, np.ones(ids.shape, dtype=bool)
+        for at in self._places(ids):
+            ok &= (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+        return ok
+
     def keep(self, rows: DataFrame, column: str) -> DataFrame:
         """The rows whose id may be among the ids."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words = self._shared.value
             for batch in batches:
-                ok = np.ones(batch.num_rows, dtype=bool)
-                for at in self._places(batch.column(column).to_numpy(zero_copy_only=False)):
-                    ok &= (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+                ok = self.has(batch.column(column).to_numpy(zero_copy_only=False))
                 if ok.any():
                     yield batch.filter(pa.array(ok))
 
-        return rows.mapInArrow(run, rows.schema)
+        return in_batches(rows, run, rows.schema)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,8 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import arrow_map, materialize, slices, texts
-from tidewright.shipping import ship
+from tidewright.llm.common import arrow_map, in_batches, materialize, release, slices, texts
 
 # The patterns and the order of kinds.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -102,16 +102,31 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{NOT_DIGIT.sub('', value) if kind in ('card', 'phone') else value.lower()}"
 
 
-def contexts(text: str, spans: list[Span], near: int) -> Iterator[tuple[str, list[str]]]:
-    """Each base span's entity and the lower-case words around it, entities left out."""
-    inside = [(a, b) for _, a, b in spans]
+def outside(words: list[tuple[int, int]], spans: list[Span]) -> list[tuple[int, int]]:
+    """The words, in order, that no span overlaps; spans by start."""
+    taken: list[list[int]] = []
+    for _, a, b in spans:
+        if taken and a <= taken[-1][1]:
+            taken[-1][1] = max(b, taken[-1][1])
+        else:
+            taken.append([a, b])
+    k, free = 0, []
+    for a, b in words:
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        if k == len(taken) or b <= taken[k][0]:
+            free.append((a, b))
+    return free
 
-    def words(part: str, at: int) -> list[str]:
-        return [m[0].lower() for m in WORD.finditer(part) if not any(a < at + m.end() and at + m.start() < b for a, b in inside if a < at + len(part) and at < b)]
 
+def contexts(text: str, spans: list[Span], near: int) -> Iterator[tuple[str, list[str]]]:
+    """Each base span's entity and the lower-case words around it, up to `near` on each side; words that a span overlaps
+    are left out."""
+    words = outside([m.span() for m in WORD.finditer(text)], spans) if spans else []
+    starts = [a for a, _ in words]
     for kind, a, b in spans:
-        low, high = max(0, a - 24 * near), min(len(text), b + 24 * near)
-        yield entity(kind, text[a:b]), words(text[low:a], low)[-near:] + words(text[b:high], b)[:near]
+        at = bisect_left(starts, a)
+        yield entity(kind, text[a:b]), [text[x:y].lower() for x, y in words[max(0, at - near) : at + near]]
 
 
 def words_of(text: str) -> set[str]:
@@ -120,13 +135,10 @@ def words_of(text: str) -> set[str]:
 
 
 def term_spans(text: str, terms: dict[str, str], spans: list[Span]) -> list[Span]:
-    """Where the terms stand in the text, base spans left out."""
-    taken = [(a, b) for _, a, b in spans]
-    found = []
-    for m in WORD.finditer(text):
-        if m[0].lower() in terms and not any(a < m.end() and m.start() < b for a, b in taken):
-            found.append(("term", m.start(), m.end()))
-    return found
+    """Where the terms stand in the text, words that a base span overlaps left out."""
+    if terms.keys().isdisjoint(words_of(text)):
+        return []
+    return [("term", a, b) for a, b in outside([m.span() for m in WORD.finditer(text) if m[0].lower() in terms], spans)]
 
 
 def sanitise(text: str, spans: list[Span], terms: dict[str, str]) -> str:
@@ -148,7 +160,7 @@ def sanitise(text: str, spans: list[Span], terms: dict[str, str]) -> str:
 
 
 def revealing_terms(docs: DataFrame, text_col: str = "text", rule: Disclosure | None = None) -> DataFrame:
-    """term, action (generalise or remove), ratio: the terms whose disclosure of some entity exceeds a threshold.
+    """A table of term, action (generalise or remove), ratio: the terms whose disclosure of some entity exceeds a threshold.
 
     P(e|t) is the number of texts with t near e over the number of texts with t; P(e) that of texts with e over the
     number of texts. All these are numbers of different texts, so that copies count neither above nor below.
@@ -156,17 +168,25 @@ def revealing_terms(docs: DataFrame, text_col: str = "text", rule: Disclosure |
     rule = rule or Disclosure()
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+
+        def made() -> pa.RecordBatch:
+            key, place, own, word = zip(*rows, strict=True)
+            rows.clear()
+            return pa.RecordBatch.from_pydict({"entity": pa.array(key, pa.binary()), "place": pa.array(place, pa.binary()), "doc": pa.array(own, pa.binary()), "term": pa.array(word, pa.string())})
+
         for batch in slices(batches, "text"):
-            rows = []
             for text in texts(batch, "text"):
-                own = hashlib.blake2b(text.encode(), digest_size=16).digest()
-                for who, words in contexts(text, base_spans(text), rule.near):
+                spans = base_spans(text)
+                own = hashlib.blake2b(text.encode(), digest_size=16).digest() if spans else b""
+                for who, words in contexts(text, spans, rule.near):
                     place = hashlib.blake2b("\0".join(words).encode(), digest_size=16).digest()
                     key = hashlib.blake2b(who.encode(), digest_size=16).digest()
                     rows += [(key, place, own, w) for w in {*words, ""}]
-            if rows:
-                key, place, own, word = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_pydict({"entity": pa.array(key, pa.binary()), "place": pa.array(place, pa.binary()), "doc": pa.array(own, pa.binary()), "term": pa.array(word, pa.string())})
+                    if len(rows) > 20_000:
+                        yield made()
+        if rows:
+            yield made()
 
     only = docs.select(F.col(text_col).alias("text"))
     seen = arrow_map(only, ["text"], "entity binary, place binary, doc binary, term string", near).distinct()
@@ -175,22 +195,29 @@ def revealing_terms(docs: DataFrame, text_col: str = "text", rule: Disclosure |
     entities = pairs.where("term = ''").select("entity", F.col("n").alias("n_entity"))
     together = pairs.where("term <> ''")
     terms = materialize(together.select("term").distinct(), "candidates")
-    with_text = _different(only.where("text IS NOT NULL"))
+    copied = _copied(only.where("text IS NOT NULL"))
+    with_text = _different(only.where("text IS NOT NULL"), copied)
     often = _text_counts(with_text, terms, rule)
     total = with_text.count()
     ratio = F.log2(F.least(F.lit(1.0), F.col("n") / F.col("n_text")) * total / F.col("n_entity")) / F.log2(total / F.col("n_entity"))
     found = together.join(entities, "entity").join(often, "term").where(F.col("n_entity") < total).select("term", ratio.alias("ratio"))
     found = found.groupBy("term").agg(F.max("ratio").alias("ratio")).where(f"ratio >= {rule.generalise}")
-    return found.select("term", F.when(F.col("ratio") >= rule.remove, "remove").otherwise("generalise").alias("action"), "ratio")
+    found = materialize(found.select("term", F.when(F.col("ratio") >= rule.remove, "remove").otherwise("generalise").alias("action"), "ratio"), "terms")
+    release(pairs, terms, copied)
+    return found
+
+
+def _copied(texts_: DataFrame) -> DataFrame:
+    """The hashes that several rows' texts have, as a table."""
+    return materialize(texts_.select(F.xxhash64("text").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "copied")
 
 
-def _different(texts_: DataFrame) -> DataFrame:
+def _different(texts_: DataFrame, copied: DataFrame) -> DataFrame:
     """Each text once. Only the texts whose hash comes more than once are shuffled, as long as Spark can broadcast
     their hashes."""
     keyed = texts_.select("text", F.xxhash64("text").alias("key"))
-    often = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "copied")
-    single = keyed.join(often, "key", "left_anti").select("text")
-    return single.unionAll(keyed.join(often, "key", "left_semi").select("text").distinct())
+    single = keyed.join(copied, "key", "left_anti").select("text")
+    return single.unionAll(keyed.join(copied, "key", "left_semi").select("text").distinct())
 
 
 def _bytes(terms: DataFrame) -> int:
@@ -232,8 +259,7 @@ def find_pii(docs: DataFrame, terms: DataFrame | None = None, rule: Disclosure |
     returned but in row, so their names can't clash.
     """
     rule = rule or Disclosure()
-    ship(docs.sparkSession)
-    terms = materialize(revealing_terms(docs, text_col, rule) if terms is None else terms.select("term", "action"), "terms").select("term", "action")
+    terms = (revealing_terms(docs, text_col, rule) if terms is None else terms).select("term", "action")
     small = _bytes(terms) <= rule.broadcast_bytes
     shared = docs.sparkSession.sparkContext.broadcast({r["term"]: r["action"] for r in terms.collect()} if small else {})
     others = F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("row")
@@ -270,4 +296,4 @@ def find_pii(docs: DataFrame, terms: DataFrame | None = None, rule: Disclosure |
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, sanitised string"
     if whole_row:
         schema += f", row {own.schema['row'].dataType.simpleString()}"
-    return own.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return in_batches(own, run, schema).withColumnRenamed("id", id_col)
