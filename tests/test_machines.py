@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from tidewright.functions import naming, pricing
@@ -82,6 +83,20 @@ def test_cooldown():
     assert [bool(cool.push(i, t)) for i, t in enumerate([0, 31, 62, 121, 122])] == [True, False, True, False, True]
 
 
+def test_cooldown_of_many_at_once():
+    rng = random.Random(4)
+    for rising in (True, False):
+        for _ in range(100):
+            at = [rng.randrange(300) for _ in range(rng.randrange(40))]
+            at = sorted(at) if rising else at
+            one, many = Cooldown(60), Cooldown(60)
+            expected = [x for i, t in enumerate(at) for x in one.push(i, t)]
+            cut = rng.randrange(len(at) + 1)
+            seq, times = np.arange(len(at)), np.array(at, dtype=np.int64)
+            assert many.push_many(seq[:cut], times[:cut]) + many.push_many(seq[cut:], times[cut:]) == expected
+            assert one.state == many.state
+
+
 def test_rate_limit():
     limit = RateLimit(1, 1000)
     assert [limit.push(i, 0)[0][1] for i in range(3)] == [0, 1000, 2000]

@@ -6,6 +6,8 @@ state is a JSON value in `state`, so that a stream can keep it between batches.
 
 from __future__ import annotations
 
+import numpy as np
+
 
 class BlockWriter:
     """Writes a block when a higher one appears, the last at the end. A lower block halts it for good; nothing that was
@@ -87,6 +89,22 @@ class Cooldown:
         self.state["fired"] = at
         return [(seq,)]
 
+    def push_many(self, seq: np.ndarray, at: np.ndarray) -> list[tuple]:
+        """push() of many at once: where times don't fall, the next firing is looked up instead of asking each."""
+        if (at[1:] < at[:-1]).any():
+            return [x for values in zip(seq.tolist(), at.tolist(), strict=True) for x in self.push(*values)]
+        out, i, fired = [], 0, self.state["fired"]
+        while True:
+            if fired is not None:
+                i = max(i, int(np.searchsorted(at, fired + self.every)))
+            if i >= len(at):
+                break
+            fired = int(at[i])
+            out.append((int(seq[i]),))
+            i += 1
+        self.state["fired"] = fired
+        return out
+
     def finish(self) -> list[tuple]:
         return []
 

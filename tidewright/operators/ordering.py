@@ -8,6 +8,7 @@ machine's state, never a whole key. One key is one task; streams run beside each
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, types as T
@@ -24,8 +25,9 @@ SPAN = 100_000
 
 
 def fold_sorted(rows: DataFrame, key: str, order: str, inputs: list[str], machine: Callable, results: T.StructType) -> DataFrame:
-    """Each key's rows, by `order`, through a machine of its own; push() gets the order column and the inputs. Returns
-    key and results, which begin with the order column's value of the row they belong to."""
+    """Each key's rows, by `order`, through a machine of its own; push() gets the order column and the inputs, or
+    push_many(), if the machine has it and no value is null, those of all the rows of a key in a batch. Returns key and
+    results, which begin with the order column's value of the row they belong to."""
     schema = T.StructType([rows.schema[key], *results.fields])
     arrow = to_arrow_schema(schema)
     ship(rows.sparkSession)
@@ -41,15 +43,23 @@ def fold_sorted(rows: DataFrame, key: str, order: str, inputs: list[str], machin
             return made
 
         for found in batches:
-            columns = [found.column(c).to_pylist() for c in (key, order, *inputs)]
-            for k, *values in zip(*columns, strict=True):
+            at, names = 0, (order, *inputs)
+            whole = hasattr(machine(), "push_many") and not any(found.column(c).null_count for c in names)
+            columns = [found.column(c).to_numpy() if whole else found.column(c).to_pylist() for c in names]
+            for k, same in groupby(found.column(key).to_pylist()):
+                to = at + sum(1 for _ in same)
                 if own is None or k != now:
                     if own is not None:
                         out.extend((now, *x) for x in own.finish())
                     own, now = machine(), k
-                out.extend((k, *x) for x in own.push(*values))
-            if len(out) > 20_000:
-                yield batch()
+                parts = [c[at:to] for c in columns]
+                if whole:
+                    out.extend((k, *x) for x in own.push_many(*parts))
+                else:
+                    out.extend((k, *x) for values in zip(*parts, strict=True) for x in own.push(*values))
+                at = to
+                if len(out) > 20_000:
+                    yield batch()
         if own is not None:
             out.extend((now, *x) for x in own.finish())
         if out:
