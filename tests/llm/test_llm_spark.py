@@ -667,6 +667,18 @@ def test_chat_odd(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["op7_quality", "op8_ngram_join", "op9_embedding_dedup"])
+def test_queries_against_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
+    sql = con.execute(queries.ORACLE_SQL[name])
+    names, expected = [d[0] for d in sql.description], sql.fetchall()
+    got = queries.QUERIES[name](spark, SF)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(map(repr, map(tuple, got.select(*names).collect()))) == sorted(map(repr, expected))
+
+
 def test_pipeline(spark):
     docs = queries.table(spark, SF, "documents")
     kept = [{r["doc_id"]: r for r in docs.collect()}]

@@ -142,9 +142,33 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND coalesce(class_distance, 0) <= {class_limit} AND coalesce(word_distance, 0) <= {word_limit} AS kept FROM judged"""
 
 
+#: Exact all-pairs forms of the two joins; components by reachability, which suits tables of a few thousand rows.
+_JOIN_SQL = """
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+sets AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END)) AS s FROM words),
+classes AS MATERIALIZED (SELECT s, min(doc_id) AS rep, count(*) AS copies FROM sets WHERE len(s) > 0 GROUP BY s),
+grams AS MATERIALIZED (SELECT rep, len(s) AS n, unnest(s) AS g FROM classes),
+shared AS (SELECT a.rep AS a, b.rep AS b, a.n + b.n AS n, count(*) AS common FROM grams a JOIN grams b ON a.g = b.g AND a.rep <> b.rep GROUP BY 1, 2, 3),
+links AS MATERIALIZED (SELECT a, b FROM shared WHERE common >= 0.8 * (n - common)),
+reach AS (SELECT rep AS a, rep AS b FROM classes UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+found AS (SELECT a, min(b) AS class_id FROM reach GROUP BY 1),
+others AS (SELECT l.a, sum(c.copies) AS n FROM links l JOIN classes c ON c.rep = l.b GROUP BY 1)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, CAST(coalesce(o.n, 0) + coalesce(copies, 1) - 1 AS BIGINT) AS n_links, coalesce(copies, 1) AS n_copies, coalesce(rep, doc_id) AS rep_id, coalesce(class_id, doc_id) = doc_id AS is_representative
+FROM sets LEFT JOIN classes ON classes.s = sets.s LEFT JOIN found ON found.a = rep LEFT JOIN others o ON o.a = rep"""
+_VECTORS_SQL = """
+WITH RECURSIVE vectors AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL),
+fine AS MATERIALIZED (SELECT vec_id, v, len(v) AS n FROM vectors WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_max(list_transform(v, lambda x: abs(x))) > 0),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.n = b.n AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM vectors UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+found AS (SELECT a, min(b) AS component_id FROM reach GROUP BY 1),
+others AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
+SELECT vec_id, coalesce(others.n, 0) AS n_links, component_id, component_id = vec_id AS kept FROM vectors JOIN found ON found.a = vec_id LEFT JOIN others ON others.a = vec_id"""
+
 _SHOWN = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _TEMPLATE.names.items())
 ORACLE_SQL = {
     "op7_quality": _quality_sql(),
+    "op8_ngram_join": _JOIN_SQL,
+    "op9_embedding_dedup": _VECTORS_SQL,
     "op10_chat_format": f"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
