@@ -5,6 +5,7 @@ They read whole tables. Where a query cuts a table in two, in what was there and
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession, types as T
@@ -506,3 +507,86 @@ def fatal_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     handle = Pipeline(spark, scratch(spark), lambda: ReconnectPolicy(3, 1000), clock).add_source(broken).start()
     handle.join()
     return spark.createDataFrame([(handle.fatal.is_set(), clock.now(), len(tried))], "fatal boolean, waited_ms long, attempts long")
+
+
+@query("SELECT 'purchases' AS strategy, s.sink, seq FROM {ev}, (VALUES ('one'), ('two')) s(sink) WHERE event_type = 'purchase' UNION ALL SELECT 'large', s.sink, seq FROM {ev}, (VALUES ('one'), ('two')) s(sink) WHERE value >= 100")
+def fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two strategies, each of which sees every event, and two sinks, each of which gets every action."""
+    where, rows = scratch(spark), ev(spark, sf_dir).select("seq", "event_type", "value")
+    rows.repartitionByRange(2, "seq").write.parquet(f"{where}/in")
+    taken: list[tuple] = []
+    engine = Pipeline(spark, f"{where}/state").add_source(lambda: spark.readStream.schema(rows.schema).parquet(f"{where}/in"))
+    for name, chosen in (("purchases", F.col("event_type") == "purchase"), ("large", F.col("value") >= 100)):
+        engine.add_strategy(lambda events, name=name, chosen=chosen: events.where(chosen).select(F.lit(name).alias("strategy"), "seq"))
+    for sink in ("one", "two"):
+        engine.add_executor(lambda action, sink=sink: taken.append((action["strategy"], sink, action["seq"])))
+    engine.start(available_now=True).join()
+    return spark.createDataFrame(taken, "strategy string, sink string, seq long")
+
+
+@query("SELECT seq, 3 AS opened, 2000 + 4000 AS waited_ms FROM {ev}")
+def flaky_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source that opens at the third attempt: two waits, the second twice as long, and no event is lost."""
+    where, rows = scratch(spark), ev(spark, sf_dir).select("seq")
+    rows.write.parquet(f"{where}/in")
+    clock, tried, seen = R.ManualClock(), [], []
+
+    def source() -> DataFrame:
+        tried.append(1)
+        if len(tried) < 3:
+            raise OSError("no connection")
+        return spark.readStream.schema(rows.schema).parquet(f"{where}/in")
+
+    engine = Pipeline(spark, f"{where}/state", lambda: ReconnectPolicy(4, 1000), clock).add_source(source)
+    engine.add_strategy(lambda events: events).add_executor(lambda action: seen.append(action["seq"]))
+    engine.start(available_now=True).join()
+    return spark.createDataFrame([(n, len(tried), clock.now()) for n in seen], "seq long, opened int, waited_ms int")
+
+
+@query("SELECT seq AS again FROM {ev} WHERE event_type = 'purchase' AND NOT ({seq_ok})")
+def feedback_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcomes of a first engine are the source of a second, whose strategy takes the actions that failed."""
+    where, rows = scratch(spark), ev(spark, sf_dir).where("event_type = 'purchase'").select("seq")
+    rows.write.parquet(f"{where}/in")
+
+    def sink(action: Row) -> None:
+        if action["seq"] * 7919 % 10 < 3:
+            raise RuntimeError("refused")
+
+    outcomes, taken = OutcomeTable(spark, f"{where}/outcomes", rows.schema, most=300), []
+    first = Pipeline(spark, f"{where}/first").add_source(lambda: spark.readStream.schema(rows.schema).parquet(f"{where}/in"))
+    first.add_strategy(lambda events: events).add_executor(sink, outcomes.publish)
+    first.start(available_now=True).join()
+    outcomes.flush()
+    second = Pipeline(spark, f"{where}/second").add_source(outcomes.stream)
+    second.add_strategy(lambda told: told.where("NOT ok").select("action.seq")).add_executor(lambda action: taken.append((action["seq"],)))
+    second.start(available_now=True).join()
+    return spark.createDataFrame(taken, "again long")
+
+
+@query("SELECT true AS stopped, false AS fatal, true AS gapless")
+def shut_down(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An endless feed that is stopped from outside: its queries end, and what it delivered has no gap."""
+    spark.dataSource.register(BlockDataSource)
+    seen: list[int] = []
+    engine = Pipeline(spark, scratch(spark)).add_source(lambda: spark.readStream.format("blocks").option("per_batch", "50").load())
+    engine.add_strategy(lambda events: events.select("number")).add_executor(lambda action: seen.append(action["number"]))
+    handle = engine.start()
+    while len(seen) < 100 and any(t.is_alive() for t in handle.threads):
+        time.sleep(0.1)
+    handle.stop()
+    ended = handle.join(60) and not any(q.isActive for q in handle.queries)
+    return spark.createDataFrame([(ended, handle.fatal.is_set(), sorted(seen) == list(range(len(seen))))], "stopped boolean, fatal boolean, gapless boolean")
+
+
+@query("SELECT 'events' AS table_name, CAST(max(block_number) AS DOUBLE) AS last_block, count(*) AS replayed FROM {ev} UNION ALL SELECT 'nope', NULL, 0")
+def missing_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that was never written has no height and replays nothing; it is no error."""
+    archive, rows = Archive(spark, scratch(spark)), []
+    for name in ("events", "nope"):
+        schema = EventSchema(name, SCHEMA.columns)
+        if name == "events":
+            archive.write(schema, schema.encode(_rows(spark, sf_dir)), "0")
+        rows.append((name, archive.last_block(name), archive.replay(schema, 2**40).count()))
+    made = spark.createDataFrame(rows, "table_name string, last_block long, replayed long")
+    return made.withColumn("last_block", F.col("last_block").cast("double"))
