@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -277,6 +278,23 @@ def test_cells_of_two_levels_hold_each_close_pair_once(rank):
         assert {*pairs} == linked_pairs(x)
 
 
+def test_slices():
+    rng = random.Random(7)
+    rows = [(i, rng.choice([None, "", "x", "é" * 7, "y" * rng.randrange(60)])) for i in range(300)]
+    batches, at = [], 0
+    while at < len(rows):
+        to = at + rng.randrange(0, 40)
+        batches.append(pa.RecordBatch.from_pydict({"id": pa.array([i for i, _ in rows[at:to]], pa.int64()), "text": pa.array([t for _, t in rows[at:to]], pa.string())}))
+        at = to
+    for chars in (1, 30, 1000, 10**6):
+        got = [*common.slices(batches, "text", chars)]
+        assert [(r["id"], r["text"]) for b in got for r in b.to_pylist()] == rows
+        sizes = [sum(len((t or "").encode()) for t in b.column("text").to_pylist()) for b in got]
+        assert all(n <= chars or b.num_rows == 1 for n, b in zip(sizes, got, strict=True))
+        assert all(a + b > chars for a, b in zip(sizes, sizes[1:], strict=False)) or chars == 1
+    assert not [*common.slices([], "text")]
+
+
 def test_hashes():
     x = common.mix64(np.arange(10_000, dtype=np.uint64))
     assert len(np.unique(x)) == 10_000

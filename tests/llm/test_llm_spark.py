@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -406,6 +407,23 @@ def test_packing(spark, odd):
     assert packing.pack_words(odd.limit(0), path).count() == 0
 
 
+def test_workers_drop_what_others_kept(spark):
+    docs = docs_of(spark, ["some words to be remembered"] * 8).coalesce(1)
+
+    def words(batches):
+        """How many words this worker's encoder remembers; -1 without one."""
+        for batch in batches:
+            found = bpe.KEPT and bpe.word_encoder(public_tokenizers.path("word_bpe_49k.json"))
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(found.memory) if found else -1] * batch.num_rows, pa.int64())})
+
+    kept = lambda keeper: {r["n"] for r in bpe.arrow_map(docs, ["text"], "n long", words, keeper).collect()}
+    for _ in range(3):  # whichever of the idle workers takes the task
+        packing.pack_words(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
+        assert all(n == -1 for n in kept("another"))
+    packing.pack_words(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert all(n == -1 or n >= 7 for n in kept("encoders"))
+
+
 def plain_measures(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]

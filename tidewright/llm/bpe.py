@@ -19,13 +19,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewright.llm.common import arrow_map, ragged, slices, texts
+from tidewright.llm.common import KEPT, arrow_map, ragged, slices, texts
 
 NONE = np.int32(2**31 - 1)
 #: Words a worker remembers; beyond it the memory starts anew, results stay the same.
 REMEMBERED = 300_000
 #: Cells of one matrix of words.
 CELLS = 1 << 19
+#: Bytes of text that are encoded at once.
+SLICE = 2_000_000
 #: Rows longer than this are merged one by one, many pairs a round.
 WIDE = 256
 
@@ -309,13 +311,18 @@ def newer_letters():
 
 
 @lru_cache(maxsize=2)
+def _encoder(kind: type, *what: str):
+    return kind(*what)
+
+
 def byte_encoder(path: str, pattern: str) -> ByteEncoder:
-    return ByteEncoder(path, pattern)
+    KEPT["encoders"] = _encoder.cache_clear
+    return _encoder(ByteEncoder, path, pattern)
 
 
-@lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    KEPT["encoders"] = _encoder.cache_clear
+    return _encoder(WordEncoder, path)
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -328,7 +335,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = byte_encoder(path, pattern)
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, SLICE):
             docs_ = texts(batch, text_col)
             ids = encoder.encode(docs_)
             back = [encoder.decode(x) for x in ids]
@@ -345,7 +352,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids
-    return arrow_map(docs, [id_col, text_col], schema, run)
+    return arrow_map(docs, [id_col, text_col], schema, run, "encoders")
 
 
 def decode_ids(rows: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -358,4 +365,4 @@ def decode_ids(rows: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             yield pa.RecordBatch.from_pydict({id_col: batch.column(id_col), "bytes": pa.array(found, pa.binary())})
 
     kind = rows.schema[id_col].dataType.simpleString()
-    return arrow_map(rows, [id_col, ids_col], f"{id_col} {kind}, bytes binary", run)
+    return arrow_map(rows, [id_col, ids_col], f"{id_col} {kind}, bytes binary", run, "encoders")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -13,8 +15,11 @@ from pyspark.sql import functions as F
 from tidewright.shared import file_system, shared_dir
 from tidewright.shipping import ship
 
-#: Texts a Python worker turns into Python objects at once, in code points.
-SLICE_CHARS = 4_000_000
+#: Bytes of text that a Python worker turns into Python objects at once.
+SLICE_CHARS = 1_000_000
+#: Bytes of an Arrow batch to a Python worker. Spark's own limit of 64 MB is held several times over by each task, outside
+#: the JVM's heap and from many threads, and what the C library then keeps for each thread is not given back.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", 1 << 20)
 
 
 #: Rows that a task writes at least, of tables whose size is known beforehand.
@@ -50,17 +55,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: str, chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
-    """Each batch cut so that a slice holds about `chars` bytes of text, or one row."""
+    """The rows dealt anew, so that a batch holds about `chars` bytes of text, or one row: large batches are cut, small
+    ones put together as long as they have no more than 10,000 rows."""
+    held: list[pa.RecordBatch] = []
+    size = rows = 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        sizes = batch.column(text).cast(pa.large_string()).fill_null("")
-        ends = np.frombuffer(sizes.buffers()[1], dtype=np.int64)[sizes.offset : sizes.offset + len(sizes) + 1]
-        at = 0
-        while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(ends, ends[at] + chars, "right")) - 1)
-            yield batch.slice(at, to - at)
-            at = to
+        for part, n in _cut(batch, text, chars):
+            if held and (size + n > chars or rows + part.num_rows > 10_000):
+                yield _joined(held)
+                size = rows = 0
+            held.append(part)
+            size, rows = size + n, rows + part.num_rows
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """The batches as one; the list is emptied."""
+    (out,) = pa.Table.from_batches(held).combine_chunks().to_batches() if len(held) > 1 else held
+    held.clear()
+    return out
+
+
+def _cut(batch: pa.RecordBatch, text: str, chars: int) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """(part, bytes of text): each of about `chars` bytes, or one row."""
+    if not batch.num_rows:
+        return
+    sizes = batch.column(text).cast(pa.large_string()).fill_null("")
+    ends = np.frombuffer(sizes.buffers()[1], dtype=np.int64)[sizes.offset : sizes.offset + len(sizes) + 1]
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + chars, "right")) - 1)
+        yield batch.slice(at, to - at), int(ends[to] - ends[at])
+        at = to
 
 
 def texts(batch: pa.RecordBatch, column: str) -> list[str]:
@@ -68,15 +95,46 @@ def texts(batch: pa.RecordBatch, column: str) -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
-def arrow_map(df: DataFrame, columns: list, schema: str, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+def arrow_map(df: DataFrame, columns: list, schema: str, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeper: str = "") -> DataFrame:
     """in_batches() over the given columns alone, so that others neither travel nor clash."""
-    return in_batches(df.select(*columns), each, schema)
+    return in_batches(df.select(*columns), each, schema, keeper)
+
+
+#: What this worker keeps between tasks: the keeper's name -> a function that drops it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def in_batches(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keeper: str = "") -> DataFrame:
+    """mapInArrow with the package at hand, in batches of BATCH bytes if the session's limit is Spark's own.
+
+    Workers live on beside the JVM, whatever the next stage does. So one hands back at the end of a task what it has
+    freed, and before a task drops what other operators' tasks have kept; keeper: whose is to stay."""
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(BATCH[0], None) == f"{64 << 20}b":
+        spark.conf.set(BATCH[0], f"{BATCH[1]}b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept(keeper)
+        try:
+            yield from each(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def drop_kept(keeper: str = "") -> None:
+    """Drops what keepers other than this one have kept in this process."""
+    for name in [n for n in KEPT if n != keeper]:
+        KEPT.pop(name)()
 
 
-def in_batches(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow with the package at hand."""
-    ship(df.sparkSession)
-    return df.mapInArrow(each, schema)
+def give_back() -> None:
+    """Freed memory that Arrow's pool and the C library still hold goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

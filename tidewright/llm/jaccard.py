@@ -182,7 +182,8 @@ def _nodes(reps: DataFrame, forest: Forest, depth: int, trees: int) -> DataFrame
                 yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64).ravel()), "rep": pa.array(np.repeat(batch.column("rep").to_numpy(), trees))})
 
     nodes = arrow_map(reps, ["rep", "forest"], "key long, rep long", keys).groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count("*").alias("n"))
-    nodes = materialize(nodes.where("first < last").select("key", "first", "n"), "nodes")
+    # One row in ten at most is taken to be left of the keys; where more are, the tasks are longer.
+    nodes = materialize(nodes.where("first < last").select("key", "first", "n"), "nodes", reps.count() * trees // 10)
     shared = IdFilter(nodes.select("key"))
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,10 +196,10 @@ def _nodes(reps: DataFrame, forest: Forest, depth: int, trees: int) -> DataFrame
                     some = row[at : at + 20_000]
                     yield pa.RecordBatch.from_pydict({"key": pa.array(key[some, tree[at : at + 20_000]].view(np.int64)), "rep": batch.column("rep").take(pa.array(some)), "sketch": pa.array([x.tobytes() for x in sketch[some]], pa.binary())})
 
-    found = materialize(arrow_map(reps, ["rep", "forest"], "key long, rep long, sketch binary", members), "members")
+    found = arrow_map(reps, ["rep", "forest"], "key long, rep long, sketch binary", members)
     large = nodes.where(F.col("n") > NODE).select("key", "first")
     out = materialize(found.join(large, "key", "left").select("key", "rep", "first", F.when(F.col("first").isNull(), F.col("sketch")).alias("sketch")), "nodes")
-    release(nodes, found)
+    release(nodes)
     return out
 
 
@@ -297,7 +298,7 @@ def candidate_edges(reps: DataFrame, forest: Forest) -> DataFrame:
     depth = forest.prefix(likeness(whole, values))
     release(whole)
     nodes = _nodes(reps, forest, depth, forest.trees)
-    edges = materialize(plausible_edges(nodes, int(forest.plausible * values)).distinct(), "candidate-edges")
+    edges = materialize(plausible_edges(nodes, int(forest.plausible * values)).distinct(), "candidate-edges", nodes.count())
     release(nodes)
     edges._depth = depth
     return edges
@@ -357,7 +358,7 @@ def join_similar(docs: DataFrame, forest: Forest | None = None, id_col: str = "d
     classes = materialize(ids.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes", total)
     reps = signed.join(classes, (signed["digest"] == classes["digest"]) & (signed["id"] == classes["rep"])).select("rep", "forest")
     repeats = ids.where("n > 1").limit(1).count() > 0
-    reps = materialize(reps.dropDuplicates(["rep"]) if repeats else reps, "representatives", total)
+    reps = materialize(reps.dropDuplicates(["rep"]) if repeats else reps, "representatives", 5 * total)  # rows of 400 bytes: a fifth as many for each task
     release(signed)
     edges = candidate_edges(reps, forest)
     release(reps)

@@ -17,11 +17,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tidewright.llm.bpe import word_encoder
+from tidewright.llm.bpe import SLICE, word_encoder
 from tidewright.llm.common import arrow_map, slices, texts
 
-#: Bytes of text that are encoded at once.
-SLICE = 2_000_000
 Piece = tuple  # (document id, start, ids, tokens of the document)
 
 
@@ -145,7 +143,7 @@ def pack_texts(docs: DataFrame, encode: Callable[[], Callable[[list[str]], list[
         if rows:
             yield batch_of(rows)
 
-    return arrow_map(docs, [id_col, text_col], schema, run)
+    return arrow_map(docs, [id_col, text_col], schema, run, "encoders")
 
 
 def pack_words(docs: DataFrame, path: str, **settings) -> DataFrame:
