@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -23,11 +24,11 @@ from tidewright.llm.common import KEPT, arrow_map, ragged, slices, texts
 
 NONE = np.int32(2**31 - 1)
 #: Words a worker remembers; beyond it the memory starts anew, results stay the same.
-REMEMBERED = 300_000
+REMEMBERED = 350_000
 #: Cells of one matrix of words.
-CELLS = 1 << 19
+CELLS = 1 << 20
 #: Bytes of text that are encoded at once.
-SLICE = 2_000_000
+SLICE = 3_000_000
 #: Rows longer than this are merged one by one, many pairs a round.
 WIDE = 256
 
@@ -253,12 +254,13 @@ class WordEncoder:
         added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         if any(x[k] for x in spec["added_tokens"] for k in ("normalized", "single_word", "lstrip", "rstrip")):
             raise ValueError(f"{path} has added tokens that are found otherwise than as they stand")
+        self.begin = os.path.commonprefix(list(added))
         self.added = re.compile("|".join(re.escape(x) for x in sorted(added, key=len, reverse=True)) or r"(?!)")
         self.fixed = {(x,): int(i).to_bytes(4, "little") for x, i in added.items()}  # no word is a tuple
         self.memory: dict[str | tuple, bytes] = dict(self.fixed)
 
     def words(self, text: str) -> list[str | tuple]:
-        found = self.added.findall(text)
+        found = self.added.findall(text) if self.begin in text else ()
         if not found:
             return self.plain_words(text)
         first, *rest = (self.plain_words(x) for x in self.added.split(text))
