@@ -421,7 +421,7 @@ def test_workers_drop_what_others_kept(spark):
         packing.pack_words(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
         assert all(n == -1 for n in kept("another"))
     packing.pack_words(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
-    assert all(n == -1 or n >= 7 for n in kept("encoders"))
+    assert all(n == -1 or n >= 2 for n in kept("encoders"))  # the added tokens alone, if another worker packed
 
 
 def plain_measures(text):
