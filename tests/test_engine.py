@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from tidewright.functions import cells, pricing
 from tidewright.operators import combinators as C
 from tidewright.operators import ordering as O
+from tidewright.operators import submission as S
 from tidewright.operators.fluent import SinkChain, Source
 from tidewright.operators.machines import BlockWriter, ConfirmationWindow, ReconnectPolicy
 from tidewright.operators.reliability import ManualClock
-from tidewright.plans import serving
+from tidewright.plans import running, serving
 from tidewright.sources.archive import Archive, ReadOnlyArchive
 from tidewright.sources.collectors import IndexedSource, LogSource, RangeTooLarge, answers, look_up_remote, read_table, subscribe_or_poll
 from tidewright.sources.live import BlockDataSource
@@ -377,6 +378,61 @@ def test_wide_prices(spark):
     assert got == [(str(top - 10 + 15 if top - 10 + 15 <= top else top), "15", None), (None, None, "gas is zero")]
 
 
+def test_submissions_in_tasks(spark):
+    class Wallet:
+        """A node whose fees are those of the row; it fails on row 3 and confirms second attempts."""
+
+        def estimate_gas(self, tx):
+            return tx["gas"]
+
+        def estimate_fees(self):
+            return pricing.Fees(self.row["fee"], 7)
+
+        def nonce(self):
+            return 1
+
+        def send(self, tx):
+            if self.row["id"] == 3:
+                raise OSError("no answer")
+            self.row["sent"] = self.row.get("sent", 0) + 1
+            return self.row["sent"]
+
+        def confirmed(self, sent, wait_ms):
+            return sent == 2
+
+        def submission(self, row):
+            self.row = row
+            return S.Submission({"gas": row["gas"]}, row["profit"], row["bid"])
+
+    given = [(n, 100 + n, 10 * (n % 2), 5000, [None, 50, 101][n % 3]) for n in range(40)]
+    actions = spark.createDataFrame(given, "id long, fee long, gas long, profit long, bid long").repartition(3)
+    for replacement in (None, S.Replacement(most=2)):
+        told = S.submit_rows(actions, ["id"], Wallet, Wallet.submission, 150, replacement).collect()
+        assert len(told) == 40
+        for r in told:
+            n, fee, gas, profit, bid = given[r["id"]]
+            try:
+                fees = pricing.price_wide(pricing.Fees(fee, 7), gas, 150, profit, bid)
+                fees = pricing.escalate_wide(fees, 125) if replacement else fees
+                expected = (None, None, False, "no answer") if n == 3 else (str(fees.max_fee), str(fees.priority_fee), False, None)
+            except pricing.PricingError as e:
+                expected = (None, None, True, str(e))
+            assert tuple(r)[1:] == expected, n
+
+
+def test_submitted_leaves_the_driver_alone(spark, monkeypatch):
+    """No order passes through the driver, however many there are."""
+
+    def refuse(*_, **__):
+        raise AssertionError("rows on the driver")
+
+    for name in ("toLocalIterator", "collect", "toPandas", "toArrow"):
+        monkeypatch.setattr(type(spark.range(1)), name, refuse)
+    monkeypatch.setattr(type(spark), "createDataFrame", refuse)
+    found = running.submitted(spark, "/root/testdata/sf0.001")
+    assert found.count() == 1500 and found.columns == ["o_orderkey", "sent", "max_fee", "priority_fee"]
+
+
 def test_pipeline_with_feedback(spark, tmp_path):
     spark.dataSource.register(BlockDataSource)
     seen, acted, synced = [], [], []

@@ -1,15 +1,21 @@
-"""Submitting transactions: priced once and sent, or sent again with the same nonce and higher fees until confirmed."""
+"""Submitting transactions: priced once and sent, or sent again with the same nonce and higher fees until confirmed.
+
+A Submitter is a sink, for one action after the other; submit_rows() runs one in every task, for actions in a DataFrame.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, types as T
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidewright.functions.pricing import Fees, PricingError, ReplacementSchedule, escalation_percent, ladder_columns, price_wide
+from tidewright.shipping import ship
 
 
 class Client(Protocol):
@@ -74,6 +80,56 @@ def _paid(fees: Fees) -> dict:
     return {"max_fee": fees.max_fee, "priority_fee": fees.priority_fee}
 
 
+class _Watched:
+    """A client that remembers what was sent last."""
+
+    def __init__(self, client: Client):
+        self.client, self.last = client, None
+
+    def send(self, tx: dict) -> Any:
+        sent = self.client.send(tx)
+        self.last = tx
+        return sent
+
+    def __getattr__(self, name: str) -> Any:
+        return getattr(self.client, name)
+
+
+#: What submit_rows() tells of an action: the fees of the last attempt that the client took, as decimal text, as they may
+#: exceed a BIGINT; whether it was refused by its price; and the error.
+_TOLD = {"max_fee": T.StringType(), "priority_fee": T.StringType(), "refused": T.BooleanType(), "error": T.StringType()}
+
+
+def submit_rows(actions: DataFrame, keys: list[str], client: Callable[[], Client], submission: Callable[[Client, dict], Submission], bump: int = 100, replacement: Replacement | None = None) -> DataFrame:
+    """A Submitter in every task, with a client of its own: keys, max_fee, priority_fee, refused, error. submission makes
+    the Submission of a row. An action that fails is recorded, the rest go on. A task that Spark runs again sends its
+    actions again, as a batch of the engine would; actions that share a nonce or an order are for the Submitter itself."""
+    schema = T.StructType([*[actions.schema[k] for k in keys], *[T.StructField(n, k) for n, k in _TOLD.items()]])
+    arrow = to_arrow_schema(schema)
+    ship(actions.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node = _Watched(client())
+        submit = Submitter(node, bump, replacement)
+        for found in batches:
+            told: dict[str, list] = {n: [] for n in _TOLD}
+            for row in found.to_pylist():
+                node.last, refused, error = None, False, None
+                try:
+                    submit(submission(node.client, row))
+                except Exception as e:
+                    refused, error = isinstance(e, PricingError), str(e)
+                paid = node.last
+                told["max_fee"].append(paid and str(paid["max_fee"]))
+                told["priority_fee"].append(paid and str(paid["priority_fee"]))
+                told["refused"].append(refused)
+                told["error"].append(error)
+            made = [found.column(n) if n in keys else pa.array(told[n]) for n in arrow.names]
+            yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(made, arrow, strict=True)], schema=arrow)
+
+    return actions.mapInArrow(run, schema)
+
+
 def replacement_attempts(actions: DataFrame, max_fee: Column, priority_fee: Column, replacement: Replacement, confirms: Callable[[Column], Column]) -> DataFrame:
     """The column form for recorded outcomes: a row for each attempt made, with its fees and whether it was confirmed;
     attempts end with the first one that is."""

@@ -432,33 +432,26 @@ def breaker_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
 class _Node:
     """A node that estimates what the transaction says and takes all."""
 
-    def __init__(self):
-        self.taken: list[dict] = []
-
     def estimate_gas(self, tx: dict) -> int:
         return tx["units"]
 
     def estimate_fees(self) -> Fees:
         return self.fees
 
-    def send(self, tx: dict) -> int:
-        self.taken.append(tx)
-        return len(self.taken)
+    def send(self, tx: dict) -> None:
+        pass
+
+    def submission(self, order: dict) -> S.Submission:
+        self.fees = Fees(order["max_fee"], order["prio"])
+        return S.Submission({"o_orderkey": order["o_orderkey"], "units": order["gas"]}, order["profit"], order["bid"])
 
 
 @query(f"SELECT o_orderkey, bid <= 100 AS sent, CAST(CASE WHEN bid <= 100 THEN profit // gas * bid // 100 END AS DOUBLE) AS max_fee, CAST(CASE WHEN bid <= 100 THEN least(prio, profit // gas * bid // 100) END AS DOUBLE) AS priority_fee FROM ({_FEES})")
 def submitted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    node, refused = _Node(), []
-    submit = S.Submitter(node)
-    for r in _fees(spark, sf_dir).toLocalIterator():
-        node.fees = Fees(r["max_fee"], r["prio"])
-        try:
-            submit(S.Submission({"o_orderkey": r["o_orderkey"], "units": r["gas"]}, r["profit"], r["bid"]))
-        except PricingError:
-            refused.append((r["o_orderkey"], False, None, None))
-    rows = [(x["o_orderkey"], True, x["max_fee"], x["priority_fee"]) for x in node.taken] + refused
-    made = spark.createDataFrame(rows, "o_orderkey long, sent boolean, max_fee long, priority_fee long")
-    return made.withColumns({c: F.col(c).cast("double") for c in ("max_fee", "priority_fee")})
+    """A bid over 100 % is refused; any other error ends the query."""
+    told = S.submit_rows(_fees(spark, sf_dir).drop("bump"), ["o_orderkey"], _Node, _Node.submission)
+    sent = F.when(F.col("error").isNull(), True).when(F.col("refused"), False).otherwise(F.raise_error(F.col("error")).cast("boolean"))
+    return told.select("o_orderkey", sent.alias("sent"), *[F.col(c).cast("double").alias(c) for c in ("max_fee", "priority_fee")])
 
 
 @query("""SELECT 'action' AS what, seq, {seq_ok} AS ok, CASE WHEN NOT ({seq_ok}) THEN 'refused ' || seq END AS error FROM {ev}, (SELECT max(event_id) AS top FROM events) WHERE event_type = 'purchase' AND seq <> top // 3
