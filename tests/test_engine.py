@@ -227,6 +227,43 @@ def test_a_strategy_loses_only_the_events_it_fails_on(spark):
     assert [r["id"] for part in decided(lambda batch: batch, events) for r in part.collect()] and not list(decided(act, events.where("id = 7")))
 
 
+def test_a_batch_with_odd_events_stays_one(spark, caplog):
+    """Whatever the events on which a strategy fails, it is asked for all the others at once."""
+    events = spark.range(3000).repartition(5).persist()
+    for odd in ([], [0], [2999], [5, 6, 1700]):
+        act = lambda batch, odd=odd: batch.select(F.when(F.col("id").isin(odd), F.raise_error(F.lit("odd")).cast("long")).otherwise(F.col("id")).alias("id"))
+        caplog.clear()
+        parts = [sorted(r["id"] for r in part.collect()) for part in decided(act, events)]
+        assert parts == [[n for n in range(3000) if n not in odd]]
+        assert sum(r.levelname == "ERROR" for r in caplog.records) == len(odd)
+
+    def crowd(batch):  # fails on no single event
+        return batch.select(F.when(F.lit(batch.count() > 1000), F.raise_error(F.lit("many")).cast("long")).otherwise(F.col("id")).alias("id"))
+
+    assert sorted(r["id"] for part in decided(crowd, events) for r in part.collect()) == list(range(3000))
+
+
+def test_executors_in_tasks(spark, tmp_path, monkeypatch):
+    """Each action once, with its fields as a row; none passes through the driver, and none is written by it."""
+    from tidewright.streaming import pipeline
+
+    monkeypatch.setattr(pipeline, "execute_batch", None)
+
+    def sink(action):
+        if action.n % 3 == 0:
+            raise RuntimeError(f"refused {action.n} {action.more.odd}")
+
+    source = spark.range(1000).selectExpr("id AS n", "named_struct('odd', id % 2 = 1) AS more", "id AS `a.b`")
+    source.write.parquet(f"file://{tmp_path}/in")
+    outcomes = OutcomeTable(spark, f"file://{tmp_path}/outcomes", source.schema, most=5)
+    engine = Pipeline(spark, f"file://{tmp_path}/state").add_source(lambda: spark.readStream.schema(source.schema).parquet(f"file://{tmp_path}/in"))
+    engine.add_strategy(lambda events: events).add_task_executor(sink, outcomes).start(available_now=True).join()
+    told = spark.read.schema(outcomes.schema).parquet(outcomes.path)
+    assert len(told.inputFiles()) <= 8
+    got = sorted((r.action.n, r.ok, r.error) for r in told.collect())
+    assert got == [(n, n % 3 > 0, None if n % 3 else f"refused {n} {str(n % 2 == 1)}") for n in range(1000)]
+
+
 def test_manifests(spark, root, monkeypatch):
     import tidewright.sources.archive as module
 

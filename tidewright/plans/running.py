@@ -481,9 +481,8 @@ def engine_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     outcomes = OutcomeTable(spark, f"{where}/outcomes", T.StructType([T.StructField("seq", T.LongType())]), most=500)
     engine = Pipeline(spark, f"{where}/state").add_source(lambda: spark.readStream.schema(rows.schema).parquet(f"{where}/in"))
-    engine.add_strategy(Purchases()).add_executor(sink, outcomes.publish).add_observer(watch)
+    engine.add_strategy(Purchases()).add_task_executor(sink, outcomes).add_observer(watch)
     engine.start(available_now=True).join()
-    outcomes.flush()
     acted = spark.read.schema(outcomes.schema).parquet(outcomes.path).select(F.lit("action").alias("what"), "action.seq", "ok", "error")
     return acted.unionByName(spark.createDataFrame([(k, n, None, None) for k, n in seen.items()], acted.schema))
 

@@ -3,24 +3,32 @@
 Every strategy sees every event, every executor every action. A strategy is a function from a DataFrame of events to one
 of actions, with sync_state() run before the first event if it has one. An event on which it fails is logged and left
 out, the others of its batch stay. An executor is a function of an action row; an action that fails is recorded, never
-raised. A source that fails is started again as the reconnect policy says; a fatal one stops the engine. Batches of
-several sources are worked on one after the other, so that strategies and wrappers need no locks.
+raised. Executors run on the driver, one action after the other, as wrappers depend on order; one that depends on none
+can run in the tasks that hold the actions instead. A source that fails is started again as the reconnect policy says; a
+fatal one stops the engine. Batches of several sources are worked on one after the other, so that strategies and wrappers
+need no locks.
 """
 
 from __future__ import annotations
 
 import logging
 import threading
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from itertools import accumulate, pairwise
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Row, SparkSession, types as T
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidewright.functions.naming import quoted
 from tidewright.operators.machines import ReconnectPolicy
 from tidewright.operators.reliability import Clock, Outcome, Sink
+from tidewright.shipping import ship
 
 LOG = logging.getLogger(__name__)
 
@@ -37,40 +45,125 @@ def execute_batch(actions: DataFrame, sink: Sink, publish: Callable[[Outcome], N
             publish(outcome)
 
 
+def executed(actions: DataFrame, sink: Sink) -> DataFrame:
+    """Every action through the sink, in the task that holds it: action, ok, error. The sink is copied to each task, so it
+    shares nothing with other tasks; a task that Spark runs again sends its actions again."""
+
+    def run(action: Row) -> tuple[bool, str | None]:
+        try:
+            sink(action)
+        except Exception as e:
+            return False, str(e)
+        return True, None
+
+    ship(actions.sparkSession)
+    told = F.udf(run, "ok boolean, error string", useArrow=False).asNondeterministic()  # so it is called once for each row
+    return actions.select(F.struct("*").alias("action")).withColumn("told", told("action")).select("action", "told.ok", "told.error")
+
+
+#: Into so many parts a batch is cut at each step of the search for what a strategy fails on; so many are tried at once.
+WAYS = 8
+
+
 def decided(act: Callable[[DataFrame], DataFrame], events: DataFrame) -> Iterator[DataFrame]:
-    """The actions for a batch of events. A strategy that fails on it is asked again for either half, so that in the end
-    only the single events on which it fails are left out, with a message in the log."""
-    columns = events.columns
-    numbered = events.withColumn("_at", F.monotonically_increasing_id())
-    parts = [numbered]
-    while parts:
-        part = parts.pop(0)
-        actions = None
+    """The actions for a batch of events. If a strategy fails on it, the single events on which it fails are searched for
+    and left out, with a message in the log, and it is asked again for all the others."""
+    try:
+        actions = _held(act(events))
+    except Exception:
+        LOG.warning("a strategy failed on a batch; looking for the events on which it fails")
+        numbered = events.withColumn("_at", F.monotonically_increasing_id()).persist()
         try:
-            actions = act(part.drop("_at")).persist()
-            actions.count()
+            yield from _sifted(act, numbered, events.columns)
+        finally:
+            numbered.unpersist()
+        return
+    try:
+        yield actions
+    finally:
+        actions.unpersist()
+
+
+def _held(actions: DataFrame) -> DataFrame:
+    actions = actions.persist()
+    try:
+        actions.count()
+    except Exception:
+        actions.unpersist()
+        raise
+    return actions
+
+
+def _sifted(act: Callable[[DataFrame], DataFrame], numbered: DataFrame, columns: list[str]) -> Iterator[DataFrame]:
+    """decided() for a batch in memory whose rows are numbered in `_at`. Parts of it are ranges of places, each a range of
+    numbers, of which Spark reads the pages in range only; every part that fails is cut again, down to single events."""
+    plain = [quoted(c) for c in columns]
+    found = numbered.groupBy(F.shiftright("_at", 33).alias("part")).agg(F.min("_at").alias("first"), F.count("*").alias("n")).orderBy("part").collect()
+    starts = list(accumulate((r["n"] for r in found), initial=0))
+
+    def number(place: int) -> int:
+        i = bisect_right(starts, place) - 1
+        return found[i]["first"] + place - starts[i]
+
+    def events(low: int, high: int) -> DataFrame:
+        return numbered.where(F.col("_at").between(number(low), number(high - 1))).select(*plain)
+
+    def error(actions: DataFrame | Exception) -> Exception | None:
+        try:
+            if isinstance(actions, Exception):
+                return actions
+            actions.write.format("noop").mode("overwrite").save()
         except Exception as e:
-            if actions is not None:
-                actions.unpersist()
-            n = part.count()
-            if n <= 1:
-                for event in part.select(*columns).collect():
-                    LOG.error("a strategy failed on %s: %s", event, str(e).split("\n")[0])
-                continue
-            middle = part.approxQuantile("_at", [0.5], 0.0)[0]
-            parts[:0] = [part.where(F.col("_at") <= middle), part.where(F.col("_at") > middle)]
-            if parts[1].isEmpty():  # the median is the last
-                parts[:2] = [part.where(F.col("_at") < middle), part.where(F.col("_at") == middle)]
+            return e
+
+    bad, good, failing = [], [], [(0, starts[-1])] if found else []
+    with ThreadPoolExecutor(WAYS) as pool:
+        while failing:
+            parts = [part for low, high in failing for part in _cut(low, high)]
+            asked = []  # one after the other, as strategies need no locks; only the jobs run beside each other
+            for part in parts:
+                try:
+                    asked.append(act(events(*part)))
+                except Exception as e:
+                    asked.append(e)
+            errors = list(pool.map(inheritable_thread_target(error), asked))
+            failing = []
+            for (low, high), e in zip(parts, errors, strict=True):
+                if e is None:
+                    good.append((low, high))
+                elif high - low > 1:
+                    failing.append((low, high))
+                else:
+                    bad.append(number(low))
+                    for event in events(low, high).collect():
+                        LOG.error("a strategy failed on %s: %s", event, str(e).split("\n")[0])
+    if not good:
+        return
+    rest = [numbered.where(~F.col("_at").isin(bad)).select(*plain) if bad else numbered.select(*plain)]
+    while rest:
+        try:
+            actions = _held(act(rest.pop(0)))
+        except Exception:
+            if not good:
+                raise
+            rest, good = [events(*part) for part in sorted(good)], []  # it fails on no event, but on all the others at once
             continue
+        good = []
         try:
             yield actions
         finally:
             actions.unpersist()
 
 
+def _cut(low: int, high: int) -> list[tuple[int, int]]:
+    """A range in up to WAYS parts of about the same length."""
+    ends = sorted({low + (high - low) * i // WAYS for i in range(WAYS + 1)})
+    return list(pairwise(ends))
+
+
 class OutcomeTable:
     """Outcomes as a folder of Parquet that other queries stream from: the feedback loop's way back. They are written by
-    flush(), or when `most` are held."""
+    flush(), or when `most` are held; those of executors in tasks are written by the tasks."""
 
     def __init__(self, spark: SparkSession, path: str, action: T.StructType, most: int = 10_000):
         self.spark, self.path, self.most = spark, path, most
@@ -90,6 +183,11 @@ class OutcomeTable:
             if rows:
                 self.spark.createDataFrame(rows, self.schema).coalesce(1).write.mode("append").parquet(self.path)
 
+    def write(self, told: DataFrame) -> None:
+        """Outcomes as executed() returns them, which don't pass through the driver."""
+        with self._lock:
+            told.write.mode("append").parquet(self.path)
+
     def stream(self) -> DataFrame:
         return self.spark.readStream.schema(self.schema).parquet(self.path)
 
@@ -121,7 +219,7 @@ class Pipeline:
         self.spark, self.checkpoint, self.policy, self.clock = spark, checkpoint.rstrip("/"), policy, clock or Clock()
         self.sources: list[Callable[[], DataFrame]] = []
         self.strategies: list[Any] = []
-        self.executors: list[tuple[Sink, Callable[[Outcome], None] | None]] = []
+        self.executors: list[Callable[[DataFrame], None]] = []
         self.observers: list[Callable[[str, DataFrame], None]] = []
         self._lock = threading.Lock()
 
@@ -134,7 +232,12 @@ class Pipeline:
         return self
 
     def add_executor(self, sink: Sink, publish: Callable[[Outcome], None] | None = None) -> Pipeline:
-        self.executors.append((sink, publish))
+        self.executors.append(lambda actions: execute_batch(actions, sink, publish))
+        return self
+
+    def add_task_executor(self, sink: Sink, outcomes: OutcomeTable) -> Pipeline:
+        """A sink that needs no order and no state, and so can run in many tasks at once; its outcomes go to the table."""
+        self.executors.append(lambda actions: outcomes.write(executed(actions, sink)))
         return self
 
     def add_observer(self, observer: Callable[[str, DataFrame], None]) -> Pipeline:
@@ -162,8 +265,8 @@ class Pipeline:
                 for s in self.strategies:
                     for actions in decided(s.process if hasattr(s, "process") else s, events):
                         self._observe("action", actions)
-                        for sink, publish in self.executors:
-                            execute_batch(actions, sink, publish)
+                        for execute in self.executors:
+                            execute(actions)
         finally:
             events.unpersist()
 
