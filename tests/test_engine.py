@@ -264,6 +264,20 @@ def test_executors_in_tasks(spark, tmp_path, monkeypatch):
     assert got == [(n, n % 3 > 0, None if n % 3 else f"refused {n} {str(n % 2 == 1)}") for n in range(1000)]
 
 
+def test_the_feedback_query_leaves_the_driver_alone(spark, monkeypatch):
+    """No action and no outcome passes through the driver, in either engine."""
+
+    def refuse(*_, **__):
+        raise AssertionError("rows on the driver")
+
+    for name in ("toLocalIterator", "collect", "toPandas", "toArrow"):
+        monkeypatch.setattr(type(spark.range(1)), name, refuse)
+    monkeypatch.setattr(type(spark), "createDataFrame", refuse)
+    found = running.feedback_loop(spark, "/root/testdata/sf0.001")
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    assert found.count() == events.where("event_type = 'purchase' AND event_id * 7919 % 10 < 3").count() > 0
+
+
 def test_manifests(spark, root, monkeypatch):
     import tidewright.sources.archive as module
 

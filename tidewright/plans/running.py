@@ -545,15 +545,13 @@ def feedback_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
         if action["seq"] * 7919 % 10 < 3:
             raise RuntimeError("refused")
 
-    outcomes, taken = OutcomeTable(spark, f"{where}/outcomes", rows.schema, most=300), []
+    outcomes, again = (OutcomeTable(spark, f"{where}/{name}", rows.schema, most=300) for name in ("outcomes", "again"))
     first = Pipeline(spark, f"{where}/first").add_source(lambda: spark.readStream.schema(rows.schema).parquet(f"{where}/in"))
-    first.add_strategy(lambda events: events).add_executor(sink, outcomes.publish)
-    first.start(available_now=True).join()
-    outcomes.flush()
+    first.add_strategy(lambda events: events).add_task_executor(sink, outcomes).start(available_now=True).join()
     second = Pipeline(spark, f"{where}/second").add_source(outcomes.stream)
-    second.add_strategy(lambda told: told.where("NOT ok").select("action.seq")).add_executor(lambda action: taken.append((action["seq"],)))
+    second.add_strategy(lambda told: told.where("NOT ok").select("action.seq")).add_task_executor(lambda action: None, again)
     second.start(available_now=True).join()
-    return spark.createDataFrame(taken, "again long")
+    return spark.read.schema(again.schema).parquet(again.path).select(F.col("action.seq").alias("again"))
 
 
 @query("SELECT true AS stopped, false AS fatal, true AS gapless")

@@ -126,7 +126,7 @@ def _sifted(act: Callable[[DataFrame], DataFrame], numbered: DataFrame, columns:
                     asked.append(act(events(*part)))
                 except Exception as e:
                     asked.append(e)
-            errors = list(pool.map(inheritable_thread_target(error), asked))
+            errors = list(pool.map(inheritable_thread_target(numbered.sparkSession)(error), asked))
             failing = []
             for (low, high), e in zip(parts, errors, strict=True):
                 if e is None:
